@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.op1_fingerprints import op1_fingerprints
 from corpusloom.llm.op2_language import op2_language_id
+from corpusloom.llm.op4_quality import op4_quality
 from corpusloom.llm.op6_sharding import op6_sharding, op6_sql
 from corpusloom.llm.op8_simhash_dedup import op8_simhash_dedup
 from corpusloom.llm.op9_chat import OP9_SQL, op9_chat_format
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_language_id": op2_language_id,
+        "op4_quality": op4_quality,
         "op6_sharding": op6_sharding,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_chat_format": op9_chat_format,
