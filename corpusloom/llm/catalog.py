@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm.op10_toxicity import op10_toxicity
 from corpusloom.llm.op1_fingerprints import op1_fingerprints
 from corpusloom.llm.op2_language import op2_language_id
 from corpusloom.llm.op4_quality import op4_quality
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": op6_sharding,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_chat_format": op9_chat_format,
+        "op10_toxicity": op10_toxicity,
     }
 
 
