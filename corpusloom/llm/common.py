@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusloom.session import ensure_checkpoint_dir
 
@@ -24,6 +27,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see, beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpusloom-{uuid4().hex}"
+
+
+def through_parquet(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def slices(texts: list[str]) -> Iterator[slice]:
     """Consecutive slices of a batch with about SLICE_CHARS code points each, at least one text."""
     start = size = 0
@@ -45,9 +65,6 @@ def map_texts(
     list or array per added column. ``keep`` names the columns that stay (all when None), in order; the text
     column itself is only sent back if it is kept.
     """
-    from pyspark.sql.pandas.types import from_arrow_schema
-    from pyspark.sql.types import StructType
-
     kept = list(df.columns if keep is None else keep)
     added_schema = pa.schema(added)
     out_schema = StructType(df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields + from_arrow_schema(added_schema).fields)

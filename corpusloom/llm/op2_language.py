@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import CHUNK, joined, sums_by_text, table_of
-from corpusloom.llm.common import fold_of, map_texts, table
+from corpusloom.llm.common import fold_of, map_texts, private_name, table
 from corpusloom.llm.learning import labelled_sample
 
 SIZES, BITS, WIDTH = (2, 3, 4), 13, 16
@@ -169,10 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LAN
     return LanguageModel(names, rows.astype(np.float32), bias, float(heat), threshold)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """``lang_pred`` and ``score`` for each row."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep``, then the predicted language and its score under ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets times languages
-    fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
+    fields = [pa.field(names[0], pa.string()), pa.field(names[1], pa.float64())]
     return map_texts(docs, "text", fields, lambda: lambda texts: list(shared.value.predict(texts)), keep)
 
 
@@ -182,8 +182,9 @@ def training_labels(docs: DataFrame) -> DataFrame:
 
 def keep_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows with a recognised language: not ``und``, and a score of the rejection threshold or more."""
-    bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return predict(bare, model, ["row"]).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.threshold)).select("row.*")
+    names = private_name(docs, "lang_pred"), private_name(docs, "lang_score")
+    sure = (F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= model.threshold)
+    return predict(docs, model, names=names).filter(sure).drop(*names)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold_of, map_texts, table
+from corpusloom.llm.common import fold_of, map_texts, private_name, table
 from corpusloom.llm.learning import Tree, boost, labelled_sample, sigmoid
 from corpusloom.llm.statistics import STATISTICS, statistics
 
@@ -124,8 +124,8 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> RuleModel:
     return RuleModel(float(beta[0]), [(r, float(b)) for r, b in zip(rules, beta[1:], strict=True) if abs(b) > 1e-6])
 
 
-def _statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    field = pa.field("statistics", pa.list_(pa.float64()))
+def _statistics(docs: DataFrame, keep: list[str], name: str = "statistics") -> DataFrame:
+    field = pa.field(name, pa.list_(pa.float64()))
     return map_texts(docs, "text", [field], lambda: lambda texts: [list(statistics(texts))], keep)
 
 
@@ -150,8 +150,8 @@ def score(docs: DataFrame, model: RuleModel, keep: list[str]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: RuleModel, least: float = GOOD) -> DataFrame:
-    bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return score(bare, model, ["row"]).filter(F.col("score") >= least).select("row.*")
+    name = private_name(docs, "statistics")
+    return _statistics(docs, docs.columns, name).filter(model.column(F.col(name)) >= least).drop(name)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
