@@ -115,7 +115,7 @@ def decode_hex(token_ids: Column, vocabulary: Vocabulary, specials: bool = False
     inside = lambda i: (i >= 0) & (i < len(table))
     bad = F.raise_error(F.concat(F.lit("token id out of range in "), token_ids.cast("string")))
     hexed = F.array_join(F.transform(token_ids, lambda i: F.element_at(known, i + 1)), "")
-    return F.when(F.forall(token_ids, inside), hexed).otherwise(bad)
+    return F.when(token_ids.isNull(), F.lit(None)).when(F.forall(token_ids, inside), hexed).otherwise(bad)
 
 
 def decode(token_ids: Column, vocabulary: Vocabulary, specials: bool = False) -> Column:
