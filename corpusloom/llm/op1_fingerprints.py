@@ -125,11 +125,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket", handleInvalid="keep").transform(
         docs.withColumn("_id", F.col("doc_id").cast("double"))
-    ).select("doc_id", "text", F.col("_bucket").cast("int").alias("bucket"))
-    tops = sorted(bucketed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())  # a row for each range
+    ).select("doc_id", "text", F.coalesce(F.col("_bucket").cast("int"), F.lit(len(splits))).alias("bucket"))
+    tops = sorted(bucketed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect(), key=lambda t: t.bucket)  # a row for each range
     above = {tops[k].bucket: tops[(k + 1) % len(tops)].bucket for k in range(len(tops))}
     top = spark.createDataFrame(
         [(t.bucket, t.top, above[t.bucket]) for t in tops], "bucket int, top long, above int"
