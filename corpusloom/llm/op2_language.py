@@ -52,9 +52,8 @@ def subwords(points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def logits(texts: list[str], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the rows (buckets, k) over the subwords of each text, and their number."""
     points, starts = joined([t.lower() for t in texts])
-    points = np.concatenate([np.full(1, 32, np.uint32), points])  # the first word has a left end as well
-    starts = starts + 1
-    starts[0] = 0
+    points = np.concatenate([np.full(1, 32, np.uint32), points])  # a text begins at the mark before its first word
+    starts[-1] += 1
     total = np.zeros((len(texts), rows.shape[1] + 1))
     padded = np.concatenate([rows, np.ones((len(rows), 1), rows.dtype)], axis=1)
     for at in range(0, len(points), CHUNK):
