@@ -4,6 +4,7 @@ Grammar of the rendered text::
 
     conversation := turn*
     turn         := "### " role ": " text "\\n</turn>\\n"
+    text         := what has no control string ("###", "</turn>") but with backslashes before it
 
 A turn is first rendered as it is and parsed again. Where the parser does not give back the very turn
 (its text holds a control string, or one behind backslashes), it is rendered at the next escape level: each
@@ -26,17 +27,18 @@ OPEN, CLOSE = "### ", "\n</turn>\n"
 #: Turns that the first aggregation puts together, before those blocks meet in their conversation.
 BLOCK_TURNS = 256
 
+#: Patterns with backslashes before it begin where the run of them does, so that long runs are passed once.
 _CONTROL = "(###|</turn>)"
 _PARSE = r"(?s)\A### ((?:[^\\:]|\\.)*+): (.*)\z"
 
 
 def escape(text: Column) -> Column:
     """One more backslash before each control string; undone by ``unescape`` for every text."""
-    return F.regexp_replace(text, r"(\\*)" + _CONTROL, r"\\$1$2")
+    return F.regexp_replace(text, r"(?<!\\)(\\*+)" + _CONTROL, r"\\$1$2")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(\\*)" + _CONTROL, "$1$2")
+    return F.regexp_replace(text, r"(?<!\\)\\(\\*+)" + _CONTROL, "$1$2")
 
 
 def _escape_role(role: Column) -> Column:
@@ -58,12 +60,16 @@ def parsed_role(segment: Column) -> Column:
 
 
 def parsed_text(segment: Column) -> Column:
-    return unescape(F.regexp_extract(segment, _PARSE, 2))
+    """The text of a rendered turn; null, as no turn of the grammar, if a control string is in it without a backslash."""
+    raw = F.regexp_extract(segment, _PARSE, 2)
+    bare = F.regexp_replace(raw, r"(?<!\\)\\++" + _CONTROL, " ").rlike(_CONTROL)
+    return F.when(~bare, unescape(raw))
 
 
 def _comes_back(rendered: Column, role: Column, text: Column) -> Column:
     parts = segments(rendered)
-    return (F.size(parts) == 1) & (parsed_role(parts[0]) == role) & (parsed_text(parts[0]) == text)
+    same = (F.size(parts) == 1) & (parsed_role(parts[0]) == role) & (parsed_text(parts[0]) == text)
+    return F.coalesce(same, F.lit(False))
 
 
 def render_turns(turns: DataFrame) -> DataFrame:
