@@ -27,7 +27,7 @@ from corpusloom.llm.statistics import STATISTICS, statistics
 SAMPLE_PER_LABEL = 3_000
 TREES, DEPTH, RATE = 40, 3, 0.3
 PENALTIES = np.geomspace(0.1, 0.0005, 12)
-TOLERANCE = 0.005
+TOLERANCE = 0.001
 GOOD = 0.7
 
 #: A conjunction: (statistic, is it above, threshold), and so on.
