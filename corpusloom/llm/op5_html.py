@@ -269,13 +269,13 @@ def blocks(node: Node) -> list[str]:
         if item is None:
             out.append([])
         elif isinstance(item, str):
-            out[-1].append(item)
+            out[-1].append(unescape(item))
         elif not item.dropped:
             if item.tag in BLOCKS:
                 out.append([])
                 todo.append(None)
             todo += reversed(item.children)
-    texts = [_SPACE.sub(" ", unescape("".join(parts))).strip() for parts in out]
+    texts = [_SPACE.sub(" ", "".join(parts)).strip() for parts in out]
     return [t for t in texts if t]
 
 
