@@ -30,6 +30,8 @@ from corpusloom.llm.components import components, forest
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Fingerprints in a tile; a task compares two tiles at most.
 TILE = 8_192
+#: Rows of small groups that a task compares at once; bounds its memory, whatever its share of the groups.
+CELL = 300_000
 #: Groups of up to this many are compared by shifting, all at once.
 SMALL = 48
 _BLOCK = 256
@@ -133,22 +135,32 @@ def links(distinct_fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
         F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int")))).alias("parts")
     ).filter(F.col("size") > tile)
     marked = rows.join(hot, ["block", "key"], "left")
-    return _small_links(marked.filter("parts IS NULL").select("block", "key", "fp"), radius, tile).union(
+    return _small_links(marked.filter("parts IS NULL"), radius).union(
         _tile_links(marked.filter("parts IS NOT NULL"), radius)
     )
 
 
-def _small_links(rows: DataFrame, radius: int, tile: int) -> DataFrame:
-    """Whole groups of up to ``tile`` fingerprints; those of a task are dealt by the hash of the group."""
+def _small_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Whole groups of up to a tile of fingerprints: a task sees them one after the other, and compares about CELL rows at once."""
 
-    def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if got:
-            block, key, fps = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("block", "key", "fp"))
-            a, b = _cell_links(block, key, fps.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], schema=_EDGES)
+    def compare(rows: np.ndarray) -> pa.RecordBatch:
+        a, b = _cell_links(rows[0], rows[1], rows[2].view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], schema=_EDGES)
 
-    return rows.repartition("block", "key").mapInArrow(run, "a long, b long")
+    def run(batches):
+        held = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("block", "key", "fp")])], axis=1)
+            if held.shape[1] >= CELL:
+                last = np.nonzero((held[:2] != held[:2, -1:]).any(axis=0))[0]
+                if len(last):  # all but the group that may go on
+                    yield compare(held[:, : last[-1] + 1])
+                    held = held[:, last[-1] + 1 :]
+        if held.shape[1]:
+            yield compare(held)
+
+    dealt = rows.select(F.col("block").cast("long").alias("block"), "key", "fp").repartition("block", "key").sortWithinPartitions("block", "key")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _tile_links(rows: DataFrame, radius: int) -> DataFrame:

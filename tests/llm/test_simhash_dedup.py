@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from corpusloom.llm import op8_simhash_dedup as m
@@ -69,7 +70,9 @@ def grouped(pairs):
     return sorted(map(sorted, (s for s in by.values() if len(s) > 1)))
 
 
-def test_links_for_small_and_hot_groups(spark):
+@pytest.mark.parametrize("cell", [300_000, 5])
+def test_links_for_small_and_hot_groups(spark, monkeypatch, cell):
+    monkeypatch.setattr(m, "CELL", cell)
     rng = random.Random(8)
     low = [x & ~((1 << 22) - 1) for x in cloud(rng, 150)]  # all share a block
     words = sorted({*cloud(rng, 150), *low, *(1 << b for b in range(64)), 0, 2**64 - 1})
