@@ -14,28 +14,37 @@ MAX_CLASSES = 512
 
 @dataclass
 class Sample:
-    """rows: doc_id, text, label, h (the hash of the text); shares: how many texts of the corpus a sampled row of the class stands for."""
+    """rows: doc_id, text, label, h (the hash of the text); shares: how many labelled documents a sampled one of the class stands for."""
 
     rows: DataFrame
     shares: dict
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> Sample:
-    """Up to ``per_class`` documents of each label, those whose text has the smallest hashes; copies of a text count once.
+#: A first cut of the ids keeps so many times the wanted number, so that it hardly ever keeps too few.
+_SPARE = 3
 
-    ``labels`` has (doc_id, label). Only ids, hashes and labels are shuffled; ``per_class`` times the number of classes
-    bounds what the driver gets.
+
+def labelled_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> Sample:
+    """Up to ``per_class`` documents of each label, those with the smallest hashes of their ids; of copies of a text one stays.
+
+    ``labelled`` has (doc_id, label) of rows of ``docs``. Whole texts are read once, of the chosen ids alone; what is counted and cut before has
+    ids and labels only. ``per_class`` times the number of classes bounds what the driver gets (_SPARE times that in between).
     """
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(
-        labels.filter("label IS NOT NULL"), "doc_id"
+    spark, known = docs.sparkSession, labelled.filter("label IS NOT NULL AND doc_id IS NOT NULL")
+    sizes = {r.label: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_CLASSES).collect()}
+    kind = labelled.schema["label"].dataType.simpleString()
+    cuts = spark.createDataFrame(
+        [(c, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, _SPARE * per_class / n)))) for c, n in sizes.items()], f"label {kind}, cut long"
     )
-    texts = keyed.groupBy("h", "label").agg(F.min("doc_id").alias("doc_id"))
-    sizes = {r.label: r["count"] for r in texts.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_CLASSES).collect()}
-    picked = [tuple(r) for label in sizes for r in texts.filter(F.col("label") == label).orderBy("h").limit(per_class).select("doc_id", "label", "h").collect()]
-    kind = labels.schema["label"].dataType.simpleString()
-    ids = spark.createDataFrame(picked, f"doc_id long, label {kind}, h long")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    order = F.xxhash64("doc_id").alias("order")
+    near = known.join(F.broadcast(cuts), "label").filter(F.xxhash64("doc_id") <= F.col("cut")).select("doc_id", "label", order).distinct()
+    by_class: dict = {}
+    for r in sorted(near.collect(), key=lambda r: (r.order, r.doc_id)):
+        if len(own := by_class.setdefault(r.label, [])) < per_class:
+            own.append((r.doc_id, r.label))
+    ids = spark.createDataFrame([x for own in by_class.values() for x in own], f"doc_id long, label {kind}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "label"])
     return Sample(rows, {c: n / min(n, per_class) for c, n in sizes.items()})
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold_of, map_texts, table
+from corpusloom.llm.common import fold_of, map_texts, materialize, table
 from corpusloom.llm.learning import Tree, boost, isotonic, labelled_sample, sigmoid
 from corpusloom.llm.statistics import class_counts
 
@@ -170,8 +170,9 @@ def _lexicons(rows: DataFrame) -> tuple[dict, dict, dict]:
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
     """``labels`` has (doc_id, label), the label 0 or 1."""
-    sample = labelled_sample(docs, labels, per_label)
-    first, second, both = _lexicons(sample.rows)
+    sample = labelled_sample(docs, docs.select("doc_id").join(labels, "doc_id"), per_label)
+    rows = materialize(sample.rows)  # bounded; read three times
+    first, second, both = _lexicons(rows)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((second, first))  # a half takes the other's; LEXICON entries at most
 
@@ -179,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
         return lambda texts: [list(features(texts, lexicon)) for lexicon in shared.value]
 
     fields = [pa.field(f"x{k}", pa.list_(pa.float64())) for k in (0, 1)]
-    got = map_texts(sample.rows, "text", fields, make, ["label", "h"]).orderBy("h", "label").toArrow()
+    got = map_texts(rows, "text", fields, make, ["label", "h"]).orderBy("h", "label").toArrow()
     y, half = np.array(got.column("label").to_pylist(), float), np.array(got.column("h").to_pylist(), np.int64) % 2
     x0, x1 = (np.array(got.column(f"x{k}").to_pylist(), float).reshape(len(y), len(FEATURES)) for k in (0, 1))
     x, w = np.where(half[:, None] == 0, x0, x1), np.array([sample.shares[int(v)] for v in y])

@@ -128,7 +128,7 @@ def descend(counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int,
 
 
 def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Learn from the texts of ``docs`` whose id has a label; ``labels`` has (doc_id, label)."""
+    """Learn from labelled texts; ``labels`` has (doc_id, label) of rows of ``docs``."""
     sample = labelled_sample(docs, labels, per_language)
 
     def make():

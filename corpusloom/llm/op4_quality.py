@@ -131,7 +131,7 @@ def _statistics(docs: DataFrame, keep: list[str], name: str = "statistics") -> D
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> RuleModel:
     """``labels`` has (doc_id, label), the label 0 or 1."""
-    sample = labelled_sample(docs, labels, per_label)
+    sample = labelled_sample(docs, docs.select("doc_id").join(labels, "doc_id"), per_label)
     got = _statistics(sample.rows, ["label", "h"]).orderBy("h", "label").toArrow()
     y = np.array(got.column("label").to_pylist(), float)
     x = np.array(got.column("statistics").to_pylist(), float).reshape(len(y), len(STATISTICS))

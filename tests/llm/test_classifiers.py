@@ -23,12 +23,14 @@ def test_fold(spark):
 
 
 def test_sample_is_bounded_and_deduplicated(spark):
-    docs = spark.createDataFrame([(k, f"text {min(k, 50)}") for k in range(200)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 200)], "doc_id long, label int")
-    s = learning.labelled_sample(docs, labels, 10)
+    docs = spark.createDataFrame([(k, f"text {min(k, 150)}") for k in range(1_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1_000)] * 2 + [(None, 1), (5, None)], "doc_id long, label int")
+    s = learning.labelled_sample(docs, labels, 40)
     rows = s.rows.collect()
-    assert sorted(r.label for r in rows) == [0] * 10 + [1] * 10 and len({(r.text, r.label) for r in rows}) == 20
-    assert s.shares == {0: 2.6, 1: 2.6}
+    assert len({(r.text, r.label) for r in rows}) == len(rows) <= 80 and {r.label for r in rows} == {0, 1}
+    assert len(rows) >= 4 and all(r.doc_id % 2 == r.label for r in rows)
+    everything = learning.labelled_sample(docs.limit(150), labels.filter("doc_id < 150"), 500).rows
+    assert everything.count() == 150
 
 
 def test_isotonic_is_monotone_and_fits():
