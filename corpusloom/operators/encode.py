@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ from corpusloom.operators.vocabulary import Vocabulary
 
 #: Chunks that a task remembers before it forgets them all.
 CACHED_CHUNKS = 500_000
+#: Up to so many rules, passing all new chunks of a batch once for each rule is faster than merging chunk by chunk.
+FOLDED_RULES = 2_000
+#: A character that is no id: ids of string form are below the surrogates.
+_MARK = "\udfff"
 
 
 def merge_array(vocabulary: Vocabulary) -> Column:
@@ -80,17 +85,41 @@ class ChunkCache(dict):
         made = self[chunk] = "".join(map(chr, encode_chunk(chunk.encode(), self.ranks)))
         return made
 
+    def encode_all(self, chunks: list[str]) -> list[str]:
+        """The token strings of different chunks. With few rules all new ones are folded together, as one string of chunks with a mark between them
+        that is no token; with many rules each is encoded by itself."""
+        fresh = [c for c in chunks if c not in self]
+        if len(self.ranks) <= FOLDED_RULES and fresh:
+            joined = b"\xff".join(c.encode() for c in fresh).decode("latin-1").replace("\xff", _MARK)
+            for (a, b), new in self.ranks.items():
+                joined = joined.replace(chr(a) + chr(b), chr(new))
+            made = dict(zip(fresh, joined.split(_MARK), strict=True))
+            found = [self[c] if c not in made else made[c] for c in chunks]
+            if len(self) + len(made) > CACHED_CHUNKS:
+                self.clear()
+            self.update(made)
+            return found
+        return [self[c] for c in chunks]
+
+
+def encode_chunk_lists(lists: pa.ListArray, cache: ChunkCache) -> pa.Array:
+    """The token string of each list of chunks. Only the distinct chunks of a batch pass through Python; the rest is done by Arrow."""
+    coded = lists.values.dictionary_encode()
+    tokens = pa.array(cache.encode_all(coded.dictionary.to_pylist()), pa.string())
+    back = pa.ListArray.from_arrays(lists.offsets, tokens.take(coded.indices), mask=lists.is_null() if lists.null_count else None)
+    return pc.binary_join(back, "")
+
 
 def encode_arrow(text: Column, vocabulary: Vocabulary, ruleset: str = DEFAULT_RULESET) -> Column:
     """As ``encode_native``: split by the engine, encoded in Arrow batches with a cache per task. No shuffle."""
     vocabulary.require_native()
     merges = list(vocabulary.merges)
 
-    @F.pandas_udf("string")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = ChunkCache(merges)
         for batch in batches:
-            yield pd.Series([None if row is None else "".join([cache[c] for c in row]) for row in batch], dtype=object)
+            yield encode_chunk_lists(batch, cache)
 
     return apply(chunks(text, ruleset))
 

@@ -131,6 +131,19 @@ def test_native_fold_is_lowest_rank_first():
         assert [ord(c) for c in folded] == encode.encode_chunk(text.encode(), ranks)
 
 
+def test_folding_chunks_together_equals_one_by_one(monkeypatch):
+    rng = random.Random(12)
+    merges = [(97, 97), (256, 98), (0, 97), (195, 169), (98, 98), (259, 97), (255, 97)]
+    cache = encode.ChunkCache(merges)
+    chunks = list({"".join(rng.choices("abé\0ÿ\n", k=rng.randint(1, 9))) for _ in range(400)})
+    want = ["".join(map(chr, encode.encode_chunk(c.encode(), cache.ranks))) for c in chunks]
+    assert cache.encode_all(chunks[:100]) == want[:100] and cache.encode_all(chunks) == want and cache.encode_all([]) == []
+    monkeypatch.setattr(encode, "CACHED_CHUNKS", 50)
+    assert encode.ChunkCache(merges).encode_all(chunks) == want
+    monkeypatch.setattr(encode, "FOLDED_RULES", 3)
+    assert encode.ChunkCache(merges).encode_all(chunks) == want
+
+
 def test_decode_out_of_range(spark, trained):
     for bad in (99999, -1, 258):
         with pytest.raises(Exception, match="out of range"):
