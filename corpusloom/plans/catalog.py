@@ -15,6 +15,7 @@ from corpusloom.functions.split import chunks
 from corpusloom.operators import analytics, encode, pack, sample, specials, train
 from corpusloom.operators.vocabulary import Vocabulary, base_vocabulary, rank_lookup
 from corpusloom.plans import duck
+from corpusloom.session import spread
 from corpusloom.sources.artefacts import parse_merges
 from corpusloom.sources.lines import explode_lines
 from corpusloom.sources.streams import chunk_listing
@@ -48,7 +49,8 @@ def merges() -> Vocabulary:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "corpusloom") -> SparkSession:
@@ -31,3 +31,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", "")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
+
+
+#: Inputs up to this size are dealt out anew if they come in fewer pieces than there are cores.
+SMALL_INPUT = 256 << 20
+
+
+def spread(df: DataFrame, small: int = SMALL_INPUT) -> DataFrame:
+    """A small input over all cores, as a few files (or one row group) would keep the others idle; larger inputs stay as they are.
+
+    Only rows move, results do not change; the shuffle is bounded by ``small``.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= small and df.rdd.getNumPartitions() < cores else df
