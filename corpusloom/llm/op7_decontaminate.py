@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ class Block:
     def numbered(self, text: str) -> np.ndarray:
         words = words_of(text)
         get = self.numbers.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
 
     def runs(self, numbers: np.ndarray) -> np.ndarray:
         """Keys of the runs of SEED words, -1 where a word is unknown."""
@@ -104,10 +105,15 @@ class Block:
         numbers = self.numbered(text)
         found = []
         for i, spans in self.windows(numbers).items():
-            best = max(((*smith_waterman(self.items[i], numbers[a:b]), a) for a, b in spans), key=lambda x: x[0])
+            item = self.items[i]
+            least, best = min(LONG, SHARE * len(item)), (0, 0, 0, 0)
+            for a, b in spans:
+                there = set(numbers[a:b].tolist())
+                if sum(map(there.__contains__, item.tolist())) >= least:  # no alignment scores more than the words in common
+                    best = max(best, (*smith_waterman(item, numbers[a:b]), a), key=lambda x: x[0])
             score, first, end, a = best
-            if score >= min(LONG, SHARE * len(self.items[i])):
-                found.append((i, score / len(self.items[i]), a + first, a + end))
+            if score >= least:
+                found.append((i, score / len(item), a + first, a + end))
         return found
 
 
