@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
-from corpusloom.session import ensure_checkpoint_dir
+from corpusloom.session import ensure_checkpoint_dir, spread
 
 #: Code points that one slice of a batch holds before a new slice starts; bounds Python's working memory.
 SLICE_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
