@@ -55,10 +55,10 @@ def train_words(words: DataFrame, target: int, driver_words: int = DRIVER_WORDS)
     """Merges from (tok, count) until the vocabulary has ``target`` ids or no word has two."""
     if not BASE_SIZE <= target < MAX_NATIVE:
         raise ValueError(f"the vocabulary size must be from {BASE_SIZE} to {MAX_NATIVE - 1}")
-    several = words.filter(F.length("tok") > 1)
-    few = several.limit(driver_words + 1).collect()
-    if len(few) <= driver_words:
-        return train_locally([(r.tok, r["count"]) for r in few], target)
+    ensure_checkpoint_dir(words.sparkSession)
+    several = words.select("tok", "count").filter(F.length("tok") > 1).checkpoint()  # the corpus is read once
+    if several.count() <= driver_words:
+        return train_locally([(r.tok, r["count"]) for r in several.collect()], target)
     return train_distributed(several, target)
 
 
