@@ -44,7 +44,7 @@ SECOND_PERSON = frozenset(
 LEET = str.maketrans("013457@$!|€", "oieastasile")
 
 FEATURES = (
-    "words", "word_hits", "word_share", "stem_hits", "stem_share", "odds", "near_second_person", "second_person", "capitals", "shouted_words", "exclamations", "marks",
+    "words", "word_hits", "word_share", "stem_hits", "stem_share", "odds", "greatest_odds", "near_second_person", "second_person", "capitals", "shouted_words", "exclamations", "marks",
     "symbols", "mixed_words", "read_hits", "spaced_letters",
 )
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -95,8 +95,8 @@ class _Tokens(dict):
         if not kinds & STEM and not word.isalpha():
             for read in (_EDGE.sub("", token.lower().translate(LEET)), re.sub(r"[\W\d_]+", "", word)):
                 hit, odds = self.found(read)
-                if hit:
-                    kinds |= READ
+                if hit:  # as good as the plain word; training texts need not have it written so
+                    kinds |= hit | READ
                     break
         return kinds, odds
 
@@ -112,7 +112,7 @@ def features(texts: list[str], lexicon: dict[str, float], tokens: _Tokens | None
         words = text.split()
         at = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
         kinds, odds = at, np.array([tokens.odds.get(w, 0.0) for w in words]) if (at & (STEM | READ)).any() else np.zeros(len(at))
-        hit = (kinds & (STEM | READ)) > 0
+        hit = (kinds & STEM) > 0
         n, chars, letters = max(1, len(words)), max(1, len(text)), max(1.0, counts[i, 0])
         sums = [((kinds & k) > 0).sum() for k in (WORD, STEM, SECOND, SHOUT, MIXED, READ)]
         near = 0.0
@@ -123,7 +123,7 @@ def features(texts: list[str], lexicon: dict[str, float], tokens: _Tokens | None
             gap = np.minimum(np.abs(where - you[np.maximum(k - 1, 0)]), np.abs(where - you[np.minimum(k, len(you) - 1)]))
             near = float((gap <= NEAR).sum())
         out[i] = (
-            np.log1p(len(words)), np.log1p(sums[0]), sums[0] / n, np.log1p(sums[1]), sums[1] / n, odds[hit].sum() / n, near / n, sums[2] / n, counts[i, 2] / letters,
+            np.log1p(len(words)), np.log1p(sums[0]), sums[0] / n, np.log1p(sums[1]), sums[1] / n, odds[hit].sum() / n, odds.max(initial=0.0), near / n, sums[2] / n, counts[i, 2] / letters,
             sums[3] / n, counts[i, 5] / chars, counts[i, 4] / chars, counts[i, 6] / chars, sums[4] / n, np.log1p(sums[5]), sum(map(len, _SPACED.findall(text))) / chars,
         )
     return out
