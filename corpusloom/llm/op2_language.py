@@ -30,7 +30,8 @@ BUCKETS = 1 << BITS
 SAMPLE_PER_LANGUAGE = 800
 PIECE = 48
 EPOCHS, BATCH, RATE = 12, 32, 8.0
-REJECTED = 0.002
+#: A prediction is rejected below the score that all but this share of right ones reach, and never above LEAST_SURE: a text of two languages is no junk.
+REJECTED, LEAST_SURE = 0.002, 0.4
 UNKNOWN = "und"
 
 
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LAN
     heat = min(np.geomspace(0.05, 5, 60), key=loss)
     p = softmax(z / heat)
     right = p.max(axis=1)[p.argmax(axis=1) == t]
-    threshold = float(min(0.5, np.quantile(right, REJECTED))) if len(right) else 0.5
+    threshold = float(min(LEAST_SURE, np.quantile(right, REJECTED))) if len(right) else LEAST_SURE
     return LanguageModel(names, rows.astype(np.float32), bias, float(heat), threshold)
 
 
