@@ -6,7 +6,7 @@ how near such hits are to second-person words, capitals, punctuation, and obfusc
 
 Learned from SAMPLE_PER_LABEL texts of each label at most (see ``labelled_sample``), weighted to stand for all labelled texts. The
 lexicon is crossed: each half of the sample gets its features from the lexicon of the other half, so that the trees do not see words that only their own texts hold;
-scoring takes the lexicon of both halves. A fifth is left out of the trees to fit the calibration.
+scoring takes the lexicon of both halves. The calibration is fitted to margins of trees that were grown without the text, over FOLDS folds.
 
 Cases: null texts count as empty; empty texts are scored by their features, which are zero. Repeated rows each give a row. With labels of one kind only,
 or none, the score is a constant. An empty table gives no rows. Extra columns are ignored.
@@ -28,12 +28,13 @@ from corpusloom.llm.statistics import class_counts
 
 SAMPLE_PER_LABEL = 3_000
 STEMS = (4, 5, 6)
-#: A lexicon entry is in so many toxic texts of the sample and so much more likely there (log odds).
-LEAST_TEXTS, LEAST_ODDS = 4, 3.0
+#: A lexicon entry is so much more likely in toxic texts (log odds), and its split between toxic and other texts has so little chance
+#: (log likelihood ratio against the split of all texts: one in about 3,000 by chance).
+LEAST_ODDS, LEAST_RATIO = 2.5, 8.0
 #: Entries of a lexicon, the likeliest first.
 LEXICON = 20_000
 NEAR = 6
-TREES, DEPTH, RATE = 60, 3, 0.3
+TREES, DEPTH, RATE, FOLDS = 60, 3, 0.3, 4
 CACHED_WORDS = 400_000
 TOXIC = 0.5
 
@@ -129,10 +130,6 @@ def features(texts: list[str], lexicon: dict[str, float], tokens: _Tokens | None
     return out
 
 
-def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
-    return np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
-
-
 @dataclass
 class ToxicityModel:
     lexicon: dict[str, float]
@@ -163,7 +160,10 @@ def _lexicons(rows: DataFrame) -> tuple[dict, dict, dict]:
         pos, neg = (sum((F.col(f"{n}{k}") for k in parts), F.lit(0)) for n in ("pos", "neg"))
         n_pos, n_neg = (sum(totals[f"{n}{k}"] for k in parts) for n in ("pos", "neg"))
         odds = F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1))
-        likely = counted.select("term", odds.alias("odds")).filter((pos >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "term")
+        share = (n_pos + 0.5) / (n_pos + n_neg + 1)
+        part = lambda n, expected: F.when(n > 0, n * F.log(n / ((pos + neg) * expected))).otherwise(0.0)
+        ratio = part(pos, share) + part(neg, 1 - share)
+        likely = counted.select("term", odds.alias("odds")).filter((ratio >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "term")
         made.append({r.term: r.odds for r in likely.limit(LEXICON).collect()})
     return tuple(made)
 
@@ -187,13 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     knots = np.array([0.0, 1.0])
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel({}, 0.0, [], knots, np.full(2, float(y[0]) if len(y) else 0.0))
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held[:] = False
-    learn, check = ~held, held if held.any() else ~held
-    start, trees = boost(x[learn], y[learn], w[learn], TREES, DEPTH, RATE, seed=5)
-    model = ToxicityModel(both, start, trees, knots, knots)
-    model.at, model.value = isotonic(sigmoid(model.margins(x[check])), y[check], w[check])
+    margins, fold = np.zeros(len(y)), np.arange(len(y)) % FOLDS
+    grown = lambda rows: boost(x[rows], y[rows], w[rows], TREES, DEPTH, RATE, seed=5)
+    for k in range(FOLDS):
+        rest = fold != k if len(set(y[fold != k])) == 2 else fold >= 0
+        margins[fold == k] = ToxicityModel(both, *grown(rest), knots, knots).margins(x[fold == k])
+    model = ToxicityModel(both, *grown(fold >= 0), knots, knots)
+    model.at, model.value = isotonic(sigmoid(margins), y, w)
     return model
 
 
