@@ -19,7 +19,7 @@ SLICE_CHARS = 2_000_000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "pages", "conversations") else df
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
