@@ -6,8 +6,9 @@ it, LC characters and LT tags of links, and LCb, Cb of the body::
     density = C / T * log(C / LC' * T / LT') / log(log(C / (C - LC)' * LC + LCb / Cb * C + e))
 
 (primes: at least 1). A node's sum is that of the densities of its children. The threshold is the least
-density on the path from the body to the node of greatest sum; from the body down, among the nodes that reach the threshold, the
-node of greatest sum is the content, and its subtree is kept. Parts that never are content, by tag, role, class or id
+density on the path from the body to the node of greatest sum. From the body down, each node that reaches the threshold is content, and so is text
+between elements that would reach it; the least subtree that covers all of them and the node of greatest sum is kept. Beside that path, only children
+below the threshold that are links for the greater part are left out of it, unless it is an article. Parts that never are content, by tag, role, class or id
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), are cut before anything is counted. Nothing
 else of the chosen subtree is dropped; where it is a part of an article, the whole article counts.
 
@@ -200,7 +201,7 @@ def measure(root: Node) -> list[Node]:
     """Counts, densities and density sums of all nodes that are not dropped; the nodes, parents first."""
     order = _below(root)
     for node in reversed(order):
-        inner = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        inner = _inner(node)
         node.chars = sum(len(_SPACE.sub("", unescape(c))) for c in node.children if isinstance(c, str)) + sum(c.chars for c in inner)
         node.tags = sum(1 + c.tags for c in inner if c.tag not in ("br", "wbr"))
         node.link_chars = node.chars if node.tag == "a" else sum(c.link_chars for c in inner)
@@ -226,24 +227,33 @@ def content(root: Node) -> Node:
     """The node whose subtree is the main text."""
     order = measure(root)
     body = next((n for n in order if n.tag == "body"), root)
-    best = max(order, key=lambda n: n.total)  # the first, so the outermost, on a tie
-    threshold, node = best.density, best
-    while node is not None:
-        threshold = min(threshold, node.density)
-        if node is body:
-            break
-        node = node.parent
-    reached = [n for n in order if n.density >= threshold and (n is body or _has_node(n, body))]
-    chosen = max(reached, key=lambda n: n.total, default=body)
-    return _whole_article(chosen if chosen.total > 0 else body)
+    best = max(_below(body), key=lambda n: n.total)  # the first, so the outermost, on a tie
+    path = [best if best.total > 0 else body]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    share = body.link_chars / max(1, body.chars)
+    top = max((k for k in range(1, len(path)) if _reaches_beside(path[k], path[k - 1], threshold, share)), default=0)
+    chosen = _whole_article(path[top])
+    if chosen is path[top] and chosen.tag not in ("article", "main"):
+        for node, kept in zip(path[1 : top + 1], path, strict=False):
+            for c in _inner(node):
+                if c is not kept and c.density < threshold and 2 * c.link_chars > c.chars:
+                    c.dropped = True
+    return chosen
 
 
-def _has_node(node: Node | None, above: Node) -> bool:
-    while node is not None:
-        if node is above:
-            return True
-        node = node.parent
-    return False
+def _inner(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and not c.dropped]
+
+
+def _reaches_beside(node: Node, inner: Node, threshold: float, body_share: float) -> bool:
+    """Whether a child of ``node`` other than ``inner``, or the text between its children, has the threshold's density."""
+    if any(c is not inner and c.chars and c.density >= threshold for c in _inner(node)):
+        return True
+    bare = Node("#text", None)
+    bare.chars = node.chars - sum(c.chars for c in _inner(node))
+    return bare.chars > 0 and composite_density(bare, body_share) >= threshold
 
 
 def _whole_article(node: Node) -> Node:

@@ -95,6 +95,25 @@ def test_pages(name):
     assert op5_html.main_text(PAGES[name][0]) == PAGES[name][1]
 
 
+@pytest.mark.parametrize("parts", [(6, 5), (5, 6), (6, 1, 5)])
+def test_article_split_over_siblings(parts):
+    texts = [[f"{i}.{k} {'a link-free paragraph ' * 5}".strip()[:100] for k in range(n)] for i, n in enumerate(parts)]
+    sections = [f"<h2>Part {i}</h2><section>{''.join(f'<p>{t}</p>' for t in part)}</section>" for i, part in enumerate(texts)]
+    want = "\n".join(t.strip() for i, part in enumerate(texts) for t in [f"Part {i}", *part])
+    links = "".join(f"<a href=/{k}>Link number {k}</a> " for k in range(9))
+    assert op5_html.main_text(f"<body><div id=story>{''.join(sections)}</div></body>") == want
+    assert op5_html.main_text(f"<body><div>{links}</div>{''.join(sections)}<div>{links}</div></body>") == want
+
+
+def test_one_container_beside_links_stays_alone():
+    links = "".join(f"<a href=/{k}>Link number {k}</a> " for k in range(9))
+    assert op5_html.main_text(f"<body><div>{links}</div><div>{f'<p>{P}</p>' * 9}</div><div>{links}</div></body>") == "\n".join([P.strip()] * 9)
+
+
+def test_bare_text_beside_a_container():
+    assert op5_html.main_text(f"<body><div>{P * 9}<br>{P * 9}<div><p>{P}</p><p>{P}</p></div></div></body>").count(P.strip()) == 20
+
+
 def test_deep_page_does_not_overflow():
     assert op5_html.main_text("<body>" + "<div>" * 20_000 + P + "</div>" * 20_000) == P.strip()
 
