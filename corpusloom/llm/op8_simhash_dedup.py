@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from corpusloom.llm.bits import bit_sums, packed
-from corpusloom.llm.common import map_texts, materialize, table
+from corpusloom.llm.common import map_texts, materialize, private_name, table
 from corpusloom.llm.components import components, forest
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -52,10 +52,10 @@ def fingerprint_texts(texts: list[str]) -> np.ndarray:
     return packed(2 * bit_sums(flat, None, starts) > np.diff(starts)[:, None])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), fp as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, and fp as a signed 64-bit integer."""
     made = lambda: lambda texts: [fingerprint_texts(texts).view(np.int64)]
-    return map_texts(docs, "text", [pa.field("fp", pa.int64())], made, ["doc_id"])
+    return map_texts(docs, "text", [pa.field("fp", pa.int64())], made, list(keep))
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -187,25 +187,40 @@ def _tile_links(rows: DataFrame, radius: int) -> DataFrame:
     return dealt.groupBy("block", "key", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def _roots(prints: DataFrame, least: Column, radius: int) -> DataFrame:
+    """(fp, root, least): the component of each distinct fingerprint, and the least of its rows."""
+    nodes = prints.groupBy("fp").agg(F.min(least).alias("least"))
+    roots = components(links(nodes.select("fp"), radius))
+    return nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
     prints = materialize(fingerprints(docs))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), radius))
-    labelled = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = _roots(prints, F.col("doc_id"), radius)
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = labelled.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id, once if rows repeat it."""
-    found = materialize(near_duplicates(docs, radius))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept_id")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """``docs`` with one row of each component: that of the smallest id, null last; of more texts with that id the one of the least hash.
+
+    Equal texts are in one component, so that (id, hashes of the text) tell which rows are kept; a row that repeats both stays once.
+    """
+    hashes = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    names = [private_name(docs, f"_kept_{c}") for c in ("id", "a", "b")]
+    keyed = docs.select("doc_id", "text", *[h.alias(n) for h, n in zip(hashes, names[1:], strict=True)])
+    prints = materialize(fingerprints(keyed, ["doc_id", *names[1:]]))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *names[1:])
+    least = _roots(prints, row, radius).groupBy("root").agg(F.min("least").alias("least"))
+    kept = least.select(*[F.col(f"least.{c}").alias(n) for c, n in zip(("doc_id", *names[1:]), names, strict=True)])
+    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & (hashes[0] == F.col(names[1])) & (hashes[1] == F.col(names[2]))
+    out = docs.join(kept, same, "left_semi")
+    repeated = prints.groupBy("doc_id", *names[1:]).count().filter("count > 1").limit(1).count()
+    if not repeated:
+        return out
+    return out.withColumns(dict(zip(names[1:], hashes, strict=True))).dropDuplicates(["doc_id", *names[1:]]).drop(*names[1:])
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,14 @@ def test_drop_copies_keeps_one_of_each(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = {r.doc_id: r.component_id for r in m.near_duplicates(docs).collect()}
     assert {r.doc_id for r in m.drop_copies(docs).collect()} == {d for d, c in found.items() if d == c}
+
+
+def test_drop_copies_goes_by_component_not_by_id(spark):
+    a, b, c, x, y, z = ("".join(f"{w}{k} " for k in range(60)) for w in "abcxyz")
+    rows = [(None, a), (None, a), (None, b), (None, c), (1, c), (6, x), (6, y), (2, x), (7, z), (7, z), (8, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len({int(f) for f in m.fingerprint_texts([a, b, c, x, y, z])}) == 6
+    want = [(None, a), (None, b), (1, c), (6, y), (2, x), (7, z), (8, None)]
+    assert sorted(map(tuple, m.drop_copies(docs).collect()), key=str) == sorted(want, key=str)
+    unique = docs.dropDuplicates(["doc_id", "text"])
+    assert sorted(map(tuple, m.drop_copies(unique).collect()), key=str) == sorted(want, key=str)
