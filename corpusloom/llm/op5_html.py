@@ -9,7 +9,8 @@ it, LC characters and LT tags of links, and LCb, Cb of the body::
 density on the path from the body to the node of greatest sum. From the body down, each node that reaches the threshold is content, and so is text
 between elements that would reach it; the least subtree that covers all of them and the node of greatest sum is kept. Beside that path, only children
 below the threshold that are links for the greater part are left out of it, unless it is an article. Parts that never are content, by tag, role, class or id
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), are cut before anything is counted. Nothing
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), are cut before anything is counted. A class or id counts as
+a whole name: a slug that only has such a word in it marks nothing, nor does any on running text within an article. Nothing
 else of the chosen subtree is dropped; where it is a part of an article, the whole article counts.
 
 Text comes block by block in page order: character references are decoded, white space within a block becomes one space, blocks are joined by a line feed.
@@ -37,7 +38,7 @@ BLOCKS = frozenset(
     "nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 NEVER = frozenset(
-    "script style noscript template iframe head title nav menu aside footer form button select textarea input option label svg math canvas object embed audio video dialog noframes".split()
+    "script style noscript template iframe head title nav menu aside footer form button select textarea input option svg annotation annotation-xml embed audio video dialog noframes".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -48,15 +49,26 @@ SIBLINGS = {
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)),
 }
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup tt u var".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of a class or id that mark what is not content.
+#: Words that mark what is not content, if all words of a class or id are of these or NEUTRAL.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside rail widget "
     "widgets footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login register search comment comments commentlist disqus respond "
     "discussion replies related recommended recommendations share sharing social pagination pager skip tags tagcloud copyright legal disclaimer form".split()
 )
 
+#: Words that say of a marked part what it is made of or where it stands.
+NEUTRAL = frozenset("area articles bar block box button buttons bottom container entries global google holder icons inner js left link links list main outer page panel posts primary right section secondary site slot stories thread top unit wrap wrapper".split())
+#: Those of UNWANTED that headings have as well: as ids, generated from a heading, they mark nothing within an article, nor any section.
+HEADINGS = frozenset(
+    "advertisement advertising banner comment consent cookies copyright disclaimer discussion form legal login menu navigation notice notices promotion recommendations register search sharing social sponsors "
+    "subscription tags".split()
+)
+_NO_HEADINGS = UNWANTED - HEADINGS
+#: Elements of running text: their ids mark nothing, and within an article their classes neither.
+TEXT = INLINE | frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr caption figure figcaption blockquote pre br hr img math".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/\"']|\Z)", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -66,17 +78,24 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "within", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.within = tag in ("article", "main") or parent is not None and parent.within
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Whether an element never is content, from its tag and attributes."""
+def _marks(names: list[str], words: frozenset) -> bool:
+    """Whether a whole name, and not only a word of it, says that an element is not content."""
+    found = [_WORDS.findall(n) for n in names if not _LAYOUT.match(n)]
+    return any(not words.isdisjoint(f) and all(w in words or w in NEUTRAL for w in f) for f in found)
+
+
+def unwanted(tag: str, attributes: str, within: bool = False) -> bool:
+    """Whether an element never is content, from its tag and attributes; ``within``: it stands in an article."""
     if tag in NEVER:
         return True
     if not attributes or tag in ("html", "body"):
@@ -84,8 +103,9 @@ def unwanted(tag: str, attributes: str) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
-            names = [x for x in value.split() if not _LAYOUT.match(x)]
-            if tag not in ("article", "main") and not UNWANTED.isdisjoint(_WORDS.findall(" ".join(names))):
+            if tag in ("article", "main") or tag in TEXT and (within or name == "id"):
+                continue
+            if _marks(value.split(), _NO_HEADINGS if name == "id" and (within or tag == "section") else UNWANTED):
                 return True
         elif name == "role":
             if value in ROLES:
@@ -122,7 +142,7 @@ def parse(html: str) -> Node:
         if tag in ("html", "body") and _has(now, tag):
             continue
         now = _make_room(now, tag)
-        node = Node(tag, now, unwanted(tag, m[3]))
+        node = Node(tag, now, unwanted(tag, m[3], now.within))
         if tag == "header" and not _within_article(now):
             node.dropped = True
         now.children.append(node)

@@ -95,6 +95,25 @@ def test_pages(name):
     assert op5_html.main_text(PAGES[name][0]) == PAGES[name][1]
 
 
+SLUGS = (
+    "<h2 id='related-work'>a</h2><section id='discussion'><p>b</p></section><h2 id='legal-form'>c</h2><p id='comment-on-method'>d</p><h3 id='search-results'>e</h3>"
+    "<div id='menu-of-the-day'><p>f</p></div><div id='recommendations'><p class='notice'>g <span class='ad'>h</span></p></div>"
+    "<p>i <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <label>j</label></p><section class='social-history'>k</section><p><object>l</object><canvas>m</canvas></p>"
+)
+SLUG_TEXT = "a\nb\nc\nd\ne\nf\ng h\ni x=1 j\nk\nlm"
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_slugs_in_an_article_are_kept(tag):
+    cut = "<div class='ad'>no</div><div class='share-buttons'>no</div><ul class='tags'><li>no</ul><div id='sidebar'>no</div><form><label>no</label></form>"
+    assert op5_html.main_text(f"<body><div id='site-footer'>no</div><{tag}><p>{P}</p>{SLUGS}{cut}</{tag}></body>") == f"{P.strip()}\n{SLUG_TEXT}"
+
+
+def test_slugs_without_an_article():
+    page = f"<body><div id='content'><p>{P * 3}</p><h2 id='legal'>a</h2><section id='discussion'><p>b</p></section><h2 id='related-work'>c</h2><p>{P * 3}</p></div><div class='cookie-notice'><p>{P * 9}</p></div></body>"
+    assert op5_html.main_text(page) == f"{(P * 3).strip()}\na\nb\nc\n{(P * 3).strip()}"
+
+
 @pytest.mark.parametrize("parts", [(6, 5), (5, 6), (6, 1, 5)])
 def test_article_split_over_siblings(parts):
     texts = [[f"{i}.{k} {'a link-free paragraph ' * 5}".strip()[:100] for k in range(n)] for i, n in enumerate(parts)]
