@@ -4,13 +4,13 @@ Words are runs of letters and digits, lower-cased. Every item of the benchmark g
 chance to begin at a word of the corpus, by the frequencies of their words in all documents, is RARE or less; and of every
 WINDOW neighbouring runs the rarest one, so that an item of common words has seeds as well. A copied passage makes its words only slightly more frequent, so that
 items stay searchable however often they were copied. Where a document has a seed, the words around it and the item are aligned
-locally (+1 for equal words, -1 for others and gaps). A document holds an item if the alignment reaches SHARE of the item's words,
-or LONG at all.
+locally (+1 for equal words, -1 for others and gaps). A document holds an item if the alignment reaches SHARE of the item's words but
+LEAST at least (the whole item if it is shorter), or LONG at all. Items of fewer than SEED words have no seeds; their exact runs of words are looked up.
 
 Documents are never joined with items by a shuffle: items are taken in blocks of BLOCK_WORDS words, whose seeds are broadcast, and every block is one pass over all whole
 texts. The words' counts over all documents are one more.
 
-Cases: null texts count as empty and hold nothing. Null item texts, and items of fewer than SEED words, match nothing. Repeated rows each give their rows; an
+Cases: null texts count as empty and hold nothing. Items that are null or without words match nothing. Repeated rows each give their rows; an
 item that is listed twice is found twice. Empty tables give no rows. Extra columns are ignored in the query; ``keep_clean`` keeps all columns.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusloom.llm.common import map_texts, private_name, table
 
 SEED, WINDOW, RARE = 3, 2, 1e-9
-SHARE, LONG = 0.35, 50
+SHARE, LEAST, LONG = 0.35, 6, 50
 BLOCK_WORDS = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -40,9 +40,17 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def least_score(size: int) -> float:
+    """What an alignment must reach for an item of so many words."""
+    return min(LONG, max(SHARE * size, min(LEAST, size)))
+
+
 @dataclass
 class Block:
-    """Items as arrays of word numbers, and their seeds: sorted keys with the (item, position) of each."""
+    """Items as arrays of word numbers, and their seeds: sorted keys with the (item, position) of each.
+
+    ``short`` has the items of fewer than SEED words: for each size, the key of the whole item and the items that it stands for.
+    """
 
     ids: list
     items: list[np.ndarray]
@@ -50,17 +58,18 @@ class Block:
     keys: np.ndarray | None = None
     item: np.ndarray | None = None
     position: np.ndarray | None = None
+    short: dict[int, dict[int, list[int]]] = field(default_factory=dict)
 
     def numbered(self, text: str) -> np.ndarray:
         words = words_of(text)
         get = self.numbers.get
         return np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
 
-    def runs(self, numbers: np.ndarray) -> np.ndarray:
-        """Keys of the runs of SEED words, -1 where a word is unknown."""
-        n = max(0, len(numbers) - SEED + 1)
+    def runs(self, numbers: np.ndarray, size: int = SEED) -> np.ndarray:
+        """Keys of the runs of ``size`` words, -1 where a word is unknown."""
+        n = max(0, len(numbers) - size + 1)
         key, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(SEED):
+        for k in range(size):
             key = key * len(self.numbers) + numbers[k : k + n]
             known &= numbers[k : k + n] >= 0
         return np.where(known, key, -1)
@@ -71,6 +80,7 @@ class Block:
         for i, numbers in enumerate(self.items):
             n = len(numbers) - SEED + 1
             if n <= 0:
+                self.short.setdefault(len(numbers), {}).setdefault(int(self.runs(numbers, len(numbers))[0]), []).append(i)
                 continue
             odds = np.sum([np.log(chance[numbers[k : k + n]]) for k in range(SEED)], axis=0)
             chosen = odds <= np.log(RARE)
@@ -106,7 +116,7 @@ class Block:
         found = []
         for i, spans in self.windows(numbers).items():
             item = self.items[i]
-            least, best = min(LONG, SHARE * len(item)), (0, 0, 0, 0)
+            least, best = least_score(len(item)), (0, 0, 0, 0)
             for a, b in spans:
                 there = set(numbers[a:b].tolist())
                 if sum(map(there.__contains__, item.tolist())) >= least:  # no alignment scores more than the words in common
@@ -114,6 +124,9 @@ class Block:
             score, first, end, a = best
             if score >= least:
                 found.append((i, score / len(item), a + first, a + end))
+        for size, items in self.short.items():
+            keys, first = np.unique(self.runs(numbers, size), return_index=True)
+            found += [(i, 1.0, int(at), int(at) + size) for key, at in zip(keys.tolist(), first, strict=True) for i in items.get(key, ())]
         return found
 
 
@@ -147,7 +160,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     for row in items.toLocalIterator():
         words = words_of(row.text)
-        if len(words) < SEED:
+        if not words:
             continue
         rows.append((row.item_id, words))
         total += len(words)

@@ -268,6 +268,18 @@ def test_decontamination_odd(spark, odd):
     assert op7_decontaminate.contaminated(odd.limit(0), bench).count() == 0
 
 
+def test_short_items_are_held_whole(spark):
+    items = [(3, "berlin is big"), (5, "what is the capital city"), (8, "paris is the capital of france since long"), (1, "Photosynthesis"), (2, "blue whale"), (2, "blue whale"), (4, "?!")]
+    docs = [
+        (1, "rome is the capital of italy and everyone knows it"), (2, "so what is the capital city, then"), (3, "well Paris is the capital of France, they say"),
+        (4, "plants use photosynthesis a lot"), (5, "a Blue-Whale swims; blue whale"), (6, "the whale is blue"), (7, "is it big, berlin is"), (8, "now berlin is big"), (9, ""), (10, None),
+    ]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.end_word) for r in op7_decontaminate.contaminated(docs, bench).collect())
+    assert got == [(2, 5, 1, 6), (3, 8, 1, 7), (4, 1, 2, 3), (5, 2, 1, 3), (5, 2, 1, 3), (8, 3, 1, 4)]
+    assert sorted(r.doc_id for r in op7_decontaminate.keep_clean(docs, bench).collect()) == [1, 6, 7, 9, 10]
+
+
 # --- chat
 
 HARD = [
