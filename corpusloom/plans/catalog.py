@@ -162,6 +162,12 @@ def merges_3_distributed(spark, sf_dir):
     return train.train_distributed(_words(spark, sf_dir), 256 + 3).merge_table(spark)
 
 
+@query()
+def merges_24_distributed(spark, sf_dir):
+    """More rounds than CUT_EVERY, so that the lineage is cut between them."""
+    return train.train_distributed(_words(spark, sf_dir), 256 + train.CUT_EVERY + 4).merge_table(spark)
+
+
 @query()
 def merges_192(spark, sf_dir):
     return train.train_words(_words(spark, sf_dir), 256 + 192).merge_table(spark)

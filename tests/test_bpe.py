@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import encode, specials, train
 from corpusloom.operators.vocabulary import Vocabulary, base_vocabulary, from_triples, rank_lookup
+from corpusloom.plans import catalog
 from corpusloom.sources import artefacts
 
 TRICKY = [
@@ -77,6 +78,14 @@ def test_distributed_trainer_equals_local(spark, small):
     assert train.train_distributed(words, 256 + 6).merges == train.train_words(words, 256 + 6).merges
 
 
+def test_distributed_query_goes_beyond_its_cut(spark, small, tmp_path):
+    spark.read.parquet(f"{small}/documents.parquet").limit(20).write.parquet(f"file://{tmp_path}/documents.parquet")
+    words = train.word_counts(spark.read.parquet(f"file://{tmp_path}/documents.parquet").select(F.col("text").alias("line")))
+    rows = catalog.queries()["merges_24_distributed"](spark, f"file://{tmp_path}").collect()
+    assert len(rows) > train.CUT_EVERY and "merges_24_distributed" not in catalog.oracle_sql()
+    assert [(r.a, r.b) for r in rows] == train.train_words(words, 256 + len(rows)).merges
+
+
 def test_pair_counts_overlap(spark):
     words = spark.createDataFrame([("aaa", 2), ("b", 5), ("", 1)], "tok string, count long")
     assert [tuple(r) for r in train.pair_counts(words).collect()] == [("aa", 4)]
