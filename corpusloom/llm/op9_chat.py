@@ -13,12 +13,12 @@ is reversible for every text, so the escalation ends there; ``round_trip`` repor
 
 Cases: null text and null role count as empty. Rows of a conversation go by (turn, role, text), null turns
 first; repeated rows stay. A null ``conv_id`` is a conversation of its own. An empty table gives no rows.
-Extra columns are ignored, whatever their names. A conversation becomes one string, so it must stay under 2 GB.
+Extra columns are ignored, whatever their names. A conversation becomes one string, so it must stay under 2 GB; in the query, which cuts the mask from UTF-32, under 500 million code points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
@@ -92,31 +92,32 @@ def format_chat(turns: DataFrame) -> DataFrame:
     ``loss_spans`` are (start, length) in code points of ``formatted``: the (escaped) assistant texts. Turns are put together
     in blocks first, so that a conversation with very many of them is not gathered row by row in one task.
     """
-    rows = render_turns(turns)
+    rows = render_turns(turns).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)).withColumn("size", F.length("rendered"))
     head = F.length(F.lit(OPEN)) + F.length(_escape_role(F.col("role"))) + 2
-    turn = F.struct(
-        "turn", "role", "text", "rendered", F.length("rendered").alias("size"),
-        F.when(F.col("role") == "assistant", head).alias("loss_at"),
-    )
+    span = F.struct((F.col("at") + head).alias("start"), (F.col("size") - head - len(CLOSE)).alias("length"))
+    turn = F.struct("turn", "role", "text", "rendered", F.when(F.col("role") == "assistant", span).alias("span"))
     blocks = (
-        rows.groupBy("conv_id", F.floor(F.col("turn") / BLOCK_TURNS).alias("block"))
+        rows.withColumn("at", _before(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")))
+        .groupBy("conv_id", "block")
         .agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.max("level").alias("level"), F.min("round_trip").alias("round_trip"))
         .select(
             "conv_id", "block", "level", "round_trip",
             F.array_join("turns.rendered", "").alias("formatted"),
-            _spans(F.col("turns")).alias("spans"),
+            F.filter("turns.span", lambda s: s.isNotNull()).alias("spans"),
         )
+        .withColumn("size", F.length("formatted"))
     )
-    block = F.struct("block", "formatted", F.length("formatted").alias("size"), "spans")
+    block = F.struct("block", "formatted", "at", "spans")
     return (
-        blocks.groupBy("conv_id")
+        blocks.withColumn("at", _before(Window.partitionBy("conv_id").orderBy("block")))
+        .groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(block)).alias("blocks"), F.max("level").alias("level"), F.min("round_trip").alias("round_trip"))
         .select(
             "conv_id",
             F.array_join("blocks.formatted", "").alias("formatted"),
             F.flatten(
-                F.transform("blocks", lambda b, i: F.transform(
-                    b["spans"], lambda s: F.struct((s["start"] + _before(F.col("blocks"), i)).alias("start"), s["length"].alias("length"))
+                F.transform("blocks", lambda b: F.transform(
+                    b["spans"], lambda s: F.struct((s["start"] + b["at"]).alias("start"), s["length"].alias("length"))
                 ))
             ).alias("loss_spans"),
             "level",
@@ -125,25 +126,23 @@ def format_chat(turns: DataFrame) -> DataFrame:
     )
 
 
-def _before(items: Column, i: Column) -> Column:
-    """Code points of the items before position ``i``."""
-    return F.aggregate(F.slice(items, F.lit(1), i), F.lit(0), lambda at, x: at + x["size"])
+def _before(rows: WindowSpec) -> Column:
+    """Code points of the rows before this one."""
+    return F.coalesce(F.sum("size").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
 
 
-def _spans(turns: Column) -> Column:
-    spans = F.transform(
-        turns,
-        lambda t, i: F.struct(
-            (t["loss_at"] + _before(turns, i)).alias("start"), (t["size"] - t["loss_at"] - len(CLOSE)).alias("length")
-        ),
-    )
-    return F.filter(spans, lambda s: s["start"].isNotNull())
+def masked(formatted: Column, spans: Column) -> Column:
+    """The unescaped texts of the spans. They are cut from UTF-32, where a code point's place is known; a letter before each keeps a byte order mark in it."""
+    letter = F.encode(F.lit("x"), "UTF-32")
+    cut = lambda wide, s: F.decode(F.concat(letter, F.substring(wide, 4 * s["start"] + 1, 4 * s["length"])), "UTF-32")
+    texts = lambda wide: F.transform(spans, lambda s: unescape(F.substring(cut(wide, s), F.lit(2), s["length"])))
+    return F.transform(F.array(F.encode(formatted, "UTF-32")), texts)[0]  # a variable, so that it is encoded once
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Parse the rendered text again: conv_id, formatted, turns (role, text)."""
+    """Parse the rendered text again: conv_id, formatted, loss_spans, turns (role, text)."""
     return formatted.select(
-        "conv_id", "formatted",
+        "conv_id", "formatted", "loss_spans",
         F.transform(
             segments(F.col("formatted")), lambda s: F.struct(parsed_role(s).alias("role"), parsed_text(s).alias("text"))
         ).alias("turns"),
@@ -158,7 +157,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = read_back(format_chat(turns))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("loss_spans")), "")
     script = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -331,3 +331,16 @@ def test_chat_query_and_odd_rows(spark, folder):
     tricky = "\\### Assistant: </turn> ok"
     assert got[-7].turns_sha256 == digest([("user", tricky), ("assistant", tricky)]) and got[-7].loss_chars == len(tricky)
     assert {r.conv_id for r in op9_chat.op9_chat_format(spark, folder(conversations=df.limit(0))).collect()} == {-7}
+
+
+def test_chat_query_reads_the_mask(spark, folder, monkeypatch):
+    texts = ["\ufeffé😀 ### x", "", "a\\", "</turn> \\###", "ü"]
+    rows = [(1, k, "assistant" if k % 2 else "user", texts[k % 5]) for k in range(2 * op9_chat.BLOCK_TURNS + 9)]
+    sf = folder(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    loss = "".join(t for _, _, role, t in rows if role == "assistant")
+    got = lambda: {r.conv_id: r for r in op9_chat.op9_chat_format(spark, sf).collect()}[1]
+    assert got().loss_chars == len(loss) and got().loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    made = op9_chat.format_chat
+    off = lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length"))
+    monkeypatch.setattr(op9_chat, "format_chat", lambda turns: made(turns).withColumn("loss_spans", F.transform("loss_spans", off)))
+    assert got().loss_sha256 != hashlib.sha256(loss.encode()).hexdigest()
