@@ -9,6 +9,9 @@ The histogram has MAX_LENGTH + 1 rows at most, whatever the corpus. Batches are
 groups of about GROUP_PIECES, ranked within them, and the ranks are moved on by the sizes of the groups before. The number of groups depends on the pieces alone, so that
 the batches are the same on any cluster.
 
+Long runs of white space, on which the tokenizer's pattern would go back character by character, are counted by themselves: what the pattern
+makes of them is known (all but the last character are one piece, the whole run at the end of a text), and no other piece crosses their start.
+
 Cases: null and empty texts are one piece of no tokens. Repeated rows each give their pieces; their order within a bucket is that of
 (doc_id, piece). An empty table gives no rows. Extra columns are ignored.
 """
@@ -16,6 +19,8 @@ Cases: null and empty texts are one piece of no tokens. Repeated rows each give
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -30,6 +35,9 @@ MAX_LENGTH, BUCKETS, TOKEN_BUDGET = 8_192, 12, 65_536
 GROUP_PIECES = 20_000
 #: Fixed value: the pre-splitting pattern that goes with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: what ``\\s`` is in the pattern. Runs of SAFE_RUN of these or more do not go through the pattern.
+SPACES, SAFE_RUN = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1_000
+_RUN = re.compile(f"[{SPACES}]{{{SAFE_RUN},}}")
 
 
 def vocabulary_path() -> str:
@@ -39,16 +47,31 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def counter(ranks: dict[bytes, int]) -> Callable[[str], int]:
+    """The number of tokens of a text, whatever its runs of white space."""
+    import tiktoken
+
+    pieces = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    whole = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def count(text: str) -> int:
+        n = at = 0
+        for run in _RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))  # the last character goes with what follows
+            n += len(pieces(text[at : run.start()])) + len(whole(text[run.start() : end]))
+            at = end
+        return n + len(pieces(text[at:]))
+
+    return count
+
+
 def token_counts(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``n_tokens``; the file is read by the driver and broadcast (some MB, whatever the corpus)."""
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def make():
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines()) if a}
-        encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda texts: [[len(encode(t)) for t in texts]]
+        count = counter({base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines()) if a})
+        return lambda texts: [list(map(count, texts))]
 
     return map_texts(docs, "text", [pa.field("n_tokens", pa.int64())], make, keep)
 

@@ -71,6 +71,30 @@ def test_packing_odd(spark, odd):
     assert op3_packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_white_space_runs_count_as_the_pattern_has_them():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(op3_packing.vocabulary_path(), "rb"))}
+    count = op3_packing.counter(ranks)
+    plain = tiktoken.Encoding("t", pat_str=op3_packing.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    rng = random.Random(6)
+    for _ in range(60):
+        parts = ["".join(rng.choices(" \n\t\u00a0\u2003\x85\r", k=rng.choice([1, 2, 998, 1_000, 1_001, 1_500, 3_000]))) for _ in range(rng.randint(1, 4))]
+        words = [rng.choice(["", "a", "it's", "!?", "12", "\x1c", "\u200b", "x 's"]) for _ in range(len(parts) + 1)]
+        text = "".join(w + p for w, p in zip(words, parts)) + words[-1]
+        assert count(text) == len(plain(text))
+    for text in (" " * 1_000_000, "a" + " " * 1_000_000 + "b", "\n" * 1_000_000 + " x"):
+        assert count(text) >= 900_000 // max(map(len, (t for t in ranks if not t.strip())))
+
+
+def test_packing_of_long_runs(spark):
+    texts = [" " * 1_000_000, "x" + "\n" * 1_000_000 + "y", "a" * 1_000_000, "!" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in op3_packing.pack_documents(docs).collect()} == {0, 1, 2, 3}
+
+
 # --- html
 
 P = "A paragraph with quite some words in it, so that it counts as text. "
