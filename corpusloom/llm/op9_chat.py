@@ -18,7 +18,7 @@ Extra columns are ignored, whatever their names. A conversation becomes one stri
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
@@ -72,63 +72,60 @@ def _comes_back(rendered: Column, role: Column, text: Column) -> Column:
     return F.coalesce(same, F.lit(False))
 
 
-def render_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, rendered, level, round_trip), one row per row of ``turns``."""
+def judge_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, level, round_trip), one row per row of ``turns``: the level at which a turn is rendered, and whether it then comes back."""
     rows = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    role, text = F.col("role"), F.col("text")
-    plain = rows.withColumn("rendered", _render(role, text))
-    rows = plain.withColumn("level", F.when(_comes_back(F.col("rendered"), role, text), 0).otherwise(1))
-    rows = rows.withColumn(
-        "rendered", F.when(F.col("level") == 0, F.col("rendered")).otherwise(_render(role, escape(text)))
-    )
-    return rows.withColumn("round_trip", _comes_back(F.col("rendered"), role, text))
+    role, text, level = F.col("role"), F.col("text"), F.col("level")
+    rows = rows.withColumn("level", F.when(_comes_back(_render(role, text), role, text), 0).otherwise(1))
+    return rows.withColumn("round_trip", (level == 0) | _comes_back(_rendered(role, text, level), role, text))
 
 
-def format_chat(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans, level, round_trip.
+def _rendered(role: Column, text: Column, level: Column) -> Column:
+    return _render(role, F.when(level == 0, text).otherwise(escape(text)))
 
-    ``loss_spans`` are (start, length) in code points of ``formatted``: the (escaped) assistant texts. Turns are put together
-    in blocks first, so that a conversation with very many of them is not gathered row by row in one task.
+
+def _joined(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows (formatted, spans, level, round_trip) of each group put together in order, the spans moved to their places.
+
+    Offsets are a running sum in the exchange and order of the keys, so that a group takes one shuffle and time in proportion to its rows.
     """
-    rows = render_turns(turns).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)).withColumn("size", F.length("rendered"))
-    head = F.length(F.lit(OPEN)) + F.length(_escape_role(F.col("role"))) + 2
-    span = F.struct((F.col("at") + head).alias("start"), (F.col("size") - head - len(CLOSE)).alias("length"))
-    turn = F.struct("turn", "role", "text", "rendered", F.when(F.col("role") == "assistant", span).alias("span"))
-    blocks = (
-        rows.withColumn("at", _before(Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")))
-        .groupBy("conv_id", "block")
-        .agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.max("level").alias("level"), F.min("round_trip").alias("round_trip"))
-        .select(
-            "conv_id", "block", "level", "round_trip",
-            F.array_join("turns.rendered", "").alias("formatted"),
-            F.filter("turns.span", lambda s: s.isNotNull()).alias("spans"),
-        )
-        .withColumn("size", F.length("formatted"))
-    )
-    block = F.struct("block", "formatted", "at", "spans")
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum(F.length("formatted")).over(before), F.lit(0)).cast("int"))
+    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["length"].alias("length")))
+    part = F.struct("at", "formatted", moved.alias("spans"))  # no turn is empty, so no two have one place
     return (
-        blocks.withColumn("at", _before(Window.partitionBy("conv_id").orderBy("block")))
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(block)).alias("blocks"), F.max("level").alias("level"), F.min("round_trip").alias("round_trip"))
-        .select(
-            "conv_id",
-            F.array_join("blocks.formatted", "").alias("formatted"),
-            F.flatten(
-                F.transform("blocks", lambda b: F.transform(
-                    b["spans"], lambda s: F.struct((s["start"] + b["at"]).alias("start"), s["length"].alias("length"))
-                ))
-            ).alias("loss_spans"),
-            "level",
-            "round_trip",
-        )
+        placed.groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max("level").alias("level"), F.min("round_trip").alias("round_trip"))
+        .select(*keys, F.array_join("parts.formatted", "").alias("formatted"), F.flatten("parts.spans").alias("spans"), "level", "round_trip")
     )
 
 
-def _before(rows: WindowSpec) -> Column:
-    """Code points of the rows before this one."""
-    return F.coalesce(F.sum("size").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+def format_chat(turns: DataFrame) -> DataFrame:
+    """One row per conversation: conv_id, formatted, loss_spans, level, round_trip.
+
+    ``loss_spans`` are (start, length) in code points of ``formatted``: the (escaped) assistant texts. Turns go to their conversation in one shuffle, as role and text
+    alone, and are rendered there; those from turn BLOCK_TURNS on are put together in blocks first, so that a very long conversation does not arrive
+    turn by turn in one task.
+    """
+    rows = judge_turns(turns).withColumn("block", F.greatest(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(0)))
+    head = F.length(F.lit(OPEN)) + F.length(_escape_role(F.col("role"))) + 2
+    span = F.struct(head.alias("start"), (F.length("formatted") - head - len(CLOSE)).alias("length"))
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    spans = F.when(F.col("role") == "assistant", F.array(span)).otherwise(none)
+
+    def rendered(some: DataFrame) -> DataFrame:
+        return some.withColumn("formatted", _rendered(F.col("role"), F.col("text"), F.col("level"))).withColumn("spans", spans)
+
+    later = _joined(rendered(rows.filter("block > 0")), ["conv_id", "block"], ["turn", "role", "text"])
+    first = rows.filter("block = 0").withColumn("spans", none)
+    blocks = later.select("conv_id", F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.col("formatted").alias("text"), "level", "round_trip", "block", "spans")
+    both = first.unionByName(blocks)
+    own = F.col("block") == 0
+    whole = both.withColumn("formatted", F.when(own, _rendered(F.col("role"), F.col("text"), F.col("level"))).otherwise(F.col("text")))
+    whole = whole.withColumn("spans", F.when(own, spans).otherwise(F.col("spans")))
+    return _joined(whole, ["conv_id"], ["block", "turn", "role", "text"]).withColumnRenamed("spans", "loss_spans")
 
 
 def masked(formatted: Column, spans: Column) -> Column:

@@ -327,7 +327,7 @@ def test_any_text_comes_back(spark):
         loss = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
         want = [op9_plain_escape(t) for c, _, role, t in turns if c == r.conv_id and role == "assistant"]
         assert loss == want
-    assert {r.level for r in op9_chat.render_turns(df).collect()} == {0, 1}
+    assert {r.level for r in op9_chat.judge_turns(df).collect()} == {0, 1}
 
 
 def op9_plain_escape(text):
