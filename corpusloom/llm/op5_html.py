@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -69,7 +71,11 @@ _NO_HEADINGS = UNWANTED - HEADINGS
 #: Elements of running text: their ids mark nothing, and within an article their classes neither.
 TEXT = INLINE | frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr caption figure figcaption blockquote pre br hr img math".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+_MARKUP = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+_TOKEN = re.compile(_MARKUP + r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: From a quote on that is never closed, quotes hide no ``>``; so no quote is looked for to the end of a page twice.
+_UNQUOTED = re.compile(_MARKUP + r"([^>]*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/\"']|\Z)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Names that tell what stands beside an element, not what it is.
@@ -118,94 +124,108 @@ def unwanted(tag: str, attributes: str, within: bool = False) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, outermost first, and where those of each tag are; no question about them looks through them all."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+        self.block, self.solid = [0], [0]  # the depth of the innermost element that is not inline; and no paragraph either
+
+    @property
+    def now(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        depth, inline = len(self.nodes), node.tag in INLINE
+        self.at.setdefault(node.tag, []).append(depth)
+        self.block.append(self.block[-1] if inline else depth)
+        self.solid.append(self.solid[-1] if inline or node.tag == "p" else depth)
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at this depth and all in it."""
+        for node in reversed(self.nodes[depth:]):
+            self.at[node.tag].pop()
+        del self.nodes[depth:], self.block[depth:], self.solid[depth:]
+
+    def innermost(self, *tags: str) -> int:
+        """The depth of the innermost open element of these; 0, the root's, if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tag: str) -> None:
+        """After an end tag; one that fits nothing open is ignored. Inline ends do not close blocks."""
+        depth = self.innermost(tag)
+        if depth and not (tag in INLINE and self.block[-1] > depth):
+            self.cut(depth)
+
+    def make_room(self, tag: str) -> None:
+        """What a start tag closes."""
+        if tag in CLOSES_P and (depth := self.innermost("p")) > self.solid[-1]:
+            self.cut(depth)
+        elif tag == "body" and (depth := self.innermost("head")):
+            self.cut(depth)
+        elif tag in SIBLINGS:
+            tags, bounds = SIBLINGS[tag]
+            bound = self.innermost(*bounds)
+            own = [self.at[t] for t in tags if self.at.get(t)]
+            first = [depths[k] for depths in own if (k := bisect_right(depths, bound)) < len(depths)]
+            if first:
+                self.cut(min(first))
+
+
+def _tokens(html: str) -> Iterator[str | re.Match]:
+    """The texts and the markup of a page, in turn."""
+    token, at, seek = _TOKEN, 0, 0
+    while (found := html.find("<", seek)) >= 0:
+        m = token.match(html, found)
+        if m is None and token is _TOKEN and _TAG.match(html, found):
+            token = _UNQUOTED
+            m = token.match(html, found)
+        if m is None:
+            seek = found + 1
+            continue
+        if found > at:
+            yield html[at:found]
+        at = seek = (yield m) or m.end()
+    if at < len(html):
+        yield html[at:]
+
+
 def parse(html: str) -> Node:
     """The tree of a page; elements that never are content hold their text still, but are marked."""
     root = Node("#root", None)
-    now, at, n = root, 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            now.children.append(html[at:])
-            break
-        if m.start() > at:
-            now.children.append(html[at : m.start()])
-        at = m.end()
+    open_, tokens, on = _Open(root), _tokens(html), None
+    while True:
+        try:
+            m, on = tokens.send(on), None
+        except StopIteration:
+            return root
+        if isinstance(m, str):
+            open_.now.children.append(m)
+            continue
         tag = m[2]
         if tag is None:
-            if html.startswith("<![CDATA[", m.start()):
-                now.children.append(html[m.start() + 9 : at].removesuffix("]]>"))
+            if m[0].startswith("<![CDATA["):
+                open_.now.children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
-            now = _close(now, tag)
+            open_.close(tag)
             continue
-        if tag in ("html", "body") and _has(now, tag):
+        if tag in ("html", "body") and open_.innermost(tag):
             continue
-        now = _make_room(now, tag)
+        open_.make_room(tag)
+        now = open_.now
         node = Node(tag, now, unwanted(tag, m[3], now.within))
-        if tag == "header" and not _within_article(now):
+        if tag == "header" and not open_.innermost("article", "main", "section"):
             node.dropped = True
         now.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
-            node.children.append(html[at : end.start() if end else n])
-            at = end.end() if end else n
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, m.end())
+            node.children.append(html[m.end() : end.start() if end else len(html)])
+            on = end.end() if end else len(html)
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path")):
-            now = node
-    return root
-
-
-def _has(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
-def _within_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main", "section"):
-            return True
-        node = node.parent
-    return False
-
-
-def _close(now: Node, tag: str) -> Node:
-    """The node that is open after an end tag; an end tag that fits nothing open is ignored. Inline ends do not close blocks."""
-    node = now
-    while node.parent is not None:
-        if node.tag == tag:
-            return node.parent
-        if tag in INLINE and node.tag not in INLINE:
-            return now
-        node = node.parent
-    return now
-
-
-def _make_room(now: Node, tag: str) -> Node:
-    """The node that a new element belongs to, after what its start tag closes."""
-    if tag in CLOSES_P:
-        node = now
-        while node.parent is not None and (node.tag in INLINE or node.tag == "p"):
-            if node.tag == "p":
-                return node.parent
-            node = node.parent
-    if tag in ("body",):
-        node = now
-        while node.parent is not None:
-            if node.tag == "head":
-                return node.parent
-            node = node.parent
-    closes = SIBLINGS.get(tag)
-    if closes:
-        node, room = now, now
-        while node.parent is not None and node.tag not in closes[1]:
-            if node.tag in closes[0]:
-                room = node.parent
-            node = node.parent
-        return room
-    return now
+            open_.push(node)
 
 
 def _below(root: Node) -> list[Node]:

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -165,6 +166,98 @@ def test_many_unclosed_tags_are_linear():
     assert op5_html.main_text("<body><article>" + "<p><b>x y" * 20_000).count("\n") == 19_999
 
 
+HOSTILE = {
+    "open quote": lambda n: "<body><p>x</p>" + "<a " * n + '"',
+    "quoted ends": lambda n: '<a ">" ' * n + "'",
+    "items in divs": lambda n: "<div>" * n + "<li>x" * n,
+    "cells in divs": lambda n: "<div>" * n + "<td>x" * n,
+    "ends of nothing": lambda n: "<div>" * n + "</x>" * n,
+    "headers": lambda n: "<div>" * n + "<header>x</header>" * n,
+    "rules in inline": lambda n: "<b>" * n + "<hr>" * n,
+    "nested": lambda n: "<body>" + "<div>" * n + "x" + "</div>" * n,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_is_linear(name):
+    """Ten times the page of the size at which time in proportion to its square took seconds."""
+    began = time.perf_counter()
+    op5_html.main_text(HOSTILE[name](80_000))
+    assert time.perf_counter() - began < 25
+
+
+def test_an_open_quote_hides_no_text():
+    assert op5_html.main_text(f"<body><article><p>{P}</p><a href=\"x>y</a><p>{P}</p><p title='it>z</p></article>") == f"{P.strip()}\ny\n{P.strip()}\nz"
+
+
+def soup(rng):
+    """A page of divs without telling tags or names, and its main text."""
+    sentence = lambda: " ".join(rng.choices(["river", "stone", "walks", "under", "a", "the", "long", "bridge", "quietly"], k=rng.randint(8, 30))) + "."
+    links = lambda n: "".join(f"<li><a href=/{rng.randint(1, 99)}>{' '.join(rng.choices(['News', 'Shop', 'Cars', 'Home', 'More'], k=rng.randint(1, 3)))}</a></li>" for _ in range(n))
+    paragraphs = [" ".join(sentence() for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(3, 9))]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f"<body><div class=a1><ul>{links(rng.randint(5, 30))}</ul></div><div class=b2>{body}</div><div class=c3><ul>{links(rng.randint(5, 40))}</ul></div><div class=d4><a href=/x>About us</a> <a href=/y>Jobs</a></div></body>"
+    return page, "\n".join(paragraphs)
+
+
+def test_density_decides_where_no_tag_tells(monkeypatch):
+    rng = random.Random(7)
+    pages = [soup(rng) for _ in range(100)]
+    assert sum(op5_html.main_text(p) == t for p, t in pages) >= 98
+    monkeypatch.setattr(op5_html, "composite_density", lambda node, share: float(node.chars > 0))
+    assert sum(op5_html.main_text(p) == t for p, t in pages) <= 2
+
+
+def test_counts_and_densities_equal_brute_force():
+    """By the definition, one node at a time."""
+    import math
+    import re
+    from html import unescape
+
+    rng = random.Random(8)
+
+    def inner(n):
+        return [c for c in n.children if isinstance(c, op5_html.Node) and not c.dropped]
+
+    def text(n):
+        return "".join(text(c) if isinstance(c, op5_html.Node) else re.sub(r"\s", "", unescape(c)) for c in n.children if isinstance(c, str) or not c.dropped)
+
+    def below(n):
+        return [x for c in inner(n) for x in (c, *below(c))]
+
+    def linked(n):
+        return len(text(n)) if n.tag == "a" else sum(map(linked, inner(n)))
+
+    def density(n, body):
+        c, lc = len(text(n)), linked(n)
+        if not c:
+            return 0.0
+        t, lt = max(1, sum(x.tag not in ("br", "wbr") for x in below(n))), max(1, sum(x.tag == "a" for x in below(n)))
+        base = math.log(max(math.e, c / max(1, c - lc) * lc + linked(body) / max(1, len(text(body))) * c + math.e))
+        return c / t * max(0.0, math.log(c / max(1, lc) * t / lt)) / max(1.0, base)
+
+    for _ in range(150):
+        page = "<body>" + "".join(rng.choice(["<div>", "</div>", "<p>", "<a href=x>", "</a>", "some text ", "x &amp; y", "<br>", "<section>", "</section>", "<nav>n</nav>"]) for _ in range(rng.randint(1, 60)))
+        root = op5_html.parse(page)
+        nodes = op5_html.measure(root)
+        body = next(n for n in nodes if n.tag == "body")
+        for n in nodes:
+            assert math.isclose(n.density, density(n, body)) and math.isclose(n.total, sum(density(c, body) for c in inner(n)))
+        best = max([body, *below(body)], key=lambda n: n.total)
+        chosen, path = op5_html.content(root), [best if best.total > 0 else body]
+        while path[-1] is not body:
+            path.append(path[-1].parent)
+        threshold = min(n.density for n in path)
+        up = chosen
+        for n in path[1:]:  # what is chosen covers all nodes above the threshold that hang on the path
+            reaching = [c for c in inner(n) if c not in path and c.chars and c.density >= threshold]
+            for c in reaching:
+                up = c
+                while up is not None and up is not chosen:
+                    up = up.parent
+                assert up is chosen
+
+
 def test_pages_query(spark, small, folder):
     import re
     from html import unescape
