@@ -3,8 +3,13 @@
 A subword is a run of SIZES letters of a lower-cased word, its ends marked by what is not a letter; it is hashed to
 one of BUCKETS embeddings. The mean embedding of a text goes through a linear softmax. Embeddings and weights are learned by stochastic
 gradient descent in numpy from SAMPLE_PER_LANGUAGE texts of each language at most (see ``labelled_sample``), each also as a short piece, so that
-short texts are told apart as well. A fifth of them is left out to fit the temperature of the softmax and the score below which a prediction counts as
-rejected: all but REJECTED of the right ones lie above it.
+short texts are told apart as well. The softmax has one class more than there are languages, for what is none: it learns from the same texts with
+their letters shuffled. It is never predicted, but takes its share of the score.
+
+A fifth of the texts is left out to fit the temperature of the softmax and the rejection threshold, the score that all but REJECTED of what must be kept
+reach: left-out texts that are told right, and texts of two languages (halves of two left-out ones joined), which are no junk. So the threshold follows the scores
+and has no bound set by hand. ``LanguageModel.rejects`` tells which share of the left-out shuffled texts lies below it and, where a second model is learned without
+the last language (``strange``), which share of its texts that one rejects.
 
 Since the layers are linear, a bucket's embedding times the weights is one row of logits: prediction gathers and sums rows.
 
@@ -14,7 +19,7 @@ everything is ``und``. An empty table gives no rows. Extra columns are ignored i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,8 @@ BUCKETS = 1 << BITS
 SAMPLE_PER_LANGUAGE = 800
 PIECE = 48
 EPOCHS, BATCH, RATE = 12, 32, 8.0
-#: A prediction is rejected below the score that all but this share of right ones reach, and never above LEAST_SURE: a text of two languages is no junk.
-REJECTED, LEAST_SURE = 0.002, 0.4
+#: Share of the texts to be kept that may lie below the rejection threshold.
+REJECTED = 0.002
 UNKNOWN = "und"
 
 
@@ -80,16 +85,17 @@ def bucket_counts(text: str) -> np.ndarray:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    rows: np.ndarray  # (BUCKETS, languages): a subword's logits
+    rows: np.ndarray  # (BUCKETS, languages + 1): a subword's logits; the last class is no language
     bias: np.ndarray
     temperature: float
     threshold: float
+    rejects: dict[str, float] = field(default_factory=dict)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         sums, n = logits(texts, self.rows)
-        p = softmax((sums / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
+        p = softmax((sums / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)[:, :-1]
         best = p.argmax(axis=1)
         score = np.where(n > 0, p[np.arange(len(p)), best], 0.0)
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score
@@ -128,8 +134,60 @@ def descend(counts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int,
     return embed @ weight, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Learn from labelled texts; ``labels`` has (doc_id, label) of rows of ``docs``."""
+def shuffled(text: str) -> str:
+    """The text with its letters in an order that their number decides; words keep their lengths."""
+    points = np.array(joined([text.lower()])[0][:-1])
+    at = np.nonzero(table_of("isalpha")[points])[0]
+    points[at] = points[np.random.default_rng(len(at)).permutation(at)]
+    return points.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+#: A text as the model sees it: its buckets and how often each occurs.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def _halved(a: Counts, b: Counts) -> Counts:
+    """A text of which one half is like a and one like b."""
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1] * max(1, b[1].sum()), b[1] * max(1, a[1].sum())])
+
+
+def _scores(texts: list[Counts], rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.array([(c @ rows[b]) / max(1, c.sum()) + bias for b, c in texts]).reshape(len(texts), len(bias))
+
+
+def fit(whole: list[Counts], pieces: list[Counts], junk: list[Counts], y: np.ndarray, names: list[str], strange: bool = False) -> LanguageModel:
+    """From texts, short pieces of them and shuffled ones, in the order of ``y``, the numbers of their languages."""
+    held = np.arange(len(y)) % 5 == 4
+    if not held.any():
+        held = np.ones(len(y), bool)
+    learn, check = np.nonzero(~held)[0] if not held.all() else np.arange(len(y)), np.nonzero(held)[0]
+    k = len(names)
+
+    def learned(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the texts of ``known`` alone, and as many shuffled ones as a language has on average."""
+        none = known[:: max(1, k)]
+        return descend([c[i] for c in (whole, pieces) for i in known] + [junk[i] for i in none], np.concatenate([y[known], y[known], np.full(len(none), k)]), k + 1)
+
+    rows, bias = learned(learn)
+    z, t = _scores([c[i] for c in (whole, pieces) for i in check], rows, bias), np.concatenate([y[check], y[check]])
+    loss = lambda heat: -np.log(np.maximum(softmax(z / heat)[np.arange(len(t)), t], 1e-12)).mean()
+    heat = float(min(np.geomspace(0.05, 5, 60), key=loss))
+    sure = lambda z: softmax(z / heat)[:, :k].max(axis=1)
+    right = sure(z)[softmax(z / heat)[:, :k].argmax(axis=1) == t]
+    others = [(i, j) for i, j in zip(check, np.roll(check, -1), strict=True) if y[i] != y[j]]
+    mixed = sure(_scores([_halved(whole[i], whole[j]) for i, j in others], rows, bias))
+    kept = np.concatenate([right, mixed])
+    threshold = float(np.quantile(kept, REJECTED)) if len(kept) else 0.0
+    model = LanguageModel(names, rows.astype(np.float32), bias, heat, threshold)
+    model.rejects["shuffled"] = float((sure(_scores([junk[i] for i in check], rows, bias)) < threshold).mean())
+    if strange:
+        rows, bias = learned(learn[y[learn] != k - 1])
+        model.rejects["foreign"] = float((sure(_scores([whole[i] for i in check if y[i] == k - 1], rows, bias)) < threshold).mean())
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, strange: bool = False) -> LanguageModel:
+    """Learn from labelled texts; ``labels`` has (doc_id, label) of rows of ``docs``. ``strange`` measures how a language that is not learned is rejected."""
     sample = labelled_sample(docs, labels, per_language)
 
     def make():
@@ -137,36 +195,24 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LAN
             out = []
             for text in texts:
                 at = len(text) // 3
-                piece = text[at : at + PIECE]
-                for t in (text, piece):
+                for t in (text, text[at : at + PIECE], shuffled(text)):
                     c = bucket_counts(t)
                     b = np.nonzero(c)[0]
                     out.append((b.astype(np.int32), c[b].astype(np.float32)))
-            return [[x[0] for x in out[::2]], [x[1] for x in out[::2]], [x[0] for x in out[1::2]], [x[1] for x in out[1::2]]]
+            return [[x[n] for x in out[k::3]] for k in range(3) for n in range(2)]
 
         return sparse
 
-    fields = [pa.field(f"{c}{k}", pa.list_(t)) for k in (0, 1) for c, t in (("b", pa.int32()), ("c", pa.float32()))]
+    fields = [pa.field(f"{c}{k}", pa.list_(t)) for k in range(3) for c, t in (("b", pa.int32()), ("c", pa.float32()))]
     got = map_texts(sample.rows, "text", fields, make, ["label", "h"]).orderBy("h", "label").toArrow()
     names = sorted(set(got.column("label").to_pylist()))
     if not names:
-        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
+        return LanguageModel([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 1.0)
     y = np.array([names.index(x) for x in got.column("label").to_pylist()])
     counts = [
-        [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(got.column(f"b{k}"), got.column(f"c{k}"), strict=True)] for k in (0, 1)
+        [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(got.column(f"b{k}"), got.column(f"c{k}"), strict=True)] for k in range(3)
     ]
-    held = np.arange(len(y)) % 5 == 4
-    fit = np.nonzero(~held)[0] if (~held).any() and held.any() else np.arange(len(y))
-    check = np.nonzero(held)[0] if held.any() else fit
-    rows, bias = descend([c[i] for c in counts for i in fit], np.concatenate([y[fit], y[fit]]), len(names))
-    z = np.array([(c[i][1] @ rows[c[i][0]]) / max(1, c[i][1].sum()) + bias for c in counts for i in check])
-    t = np.concatenate([y[check], y[check]])
-    loss = lambda heat: -np.log(np.maximum(softmax(z / heat)[np.arange(len(t)), t], 1e-12)).mean()
-    heat = min(np.geomspace(0.05, 5, 60), key=loss)
-    p = softmax(z / heat)
-    right = p.max(axis=1)[p.argmax(axis=1) == t]
-    threshold = float(min(LEAST_SURE, np.quantile(right, REJECTED))) if len(right) else LEAST_SURE
-    return LanguageModel(names, rows.astype(np.float32), bias, float(heat), threshold)
+    return fit(*counts, y, names, strange)
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

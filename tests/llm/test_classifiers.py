@@ -103,6 +103,42 @@ def test_language_held_out(spark, mid):
     assert {r.doc_id for r in held} == {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
 
 
+def test_language_rejects_junk_and_strangers_and_keeps_mixtures(spark, mid):
+    docs = spark.read.parquet(f"{mid}/documents.parquet")
+    model = op2_language.train(docs, op2_language.training_labels(docs), strange=True)
+    assert 0 < model.threshold < 1 and model.rejects["shuffled"] > 0.95 and model.rejects["foreign"] > 0.9
+    by = {r.lang: r.text for r in docs.filter("length(text) > 400 AND length(text) < 900").collect()}
+    texts = {**by, "mixed": f"{by['en']} {by['fr']}", "junk": op2_language.shuffled(by["en"]), "cyrillic": "Это русский текст для проверки. " * 5, "digits": "12 34", "none": None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r.doc_id for r in op2_language.keep_languages(df, model).collect()} == {*by, "mixed"}
+
+
+def test_predictions_equal_the_definition(spark, mid):
+    """Subword by subword: the mean of their embeddings' logits, the softmax, the best language."""
+    docs = spark.read.parquet(f"{mid}/documents.parquet").limit(60)
+    model = op2_language.train(docs, docs.select("doc_id", F.col("lang").alias("label")))
+    texts = [r.text for r in docs.collect()][:12] + ["é", "a b", ""]
+
+    def bucket(window):
+        h = len(window)
+        for c in window:
+            h = (h ^ (ord(c) if c.isalpha() else 32)) * 0x01000193 % 2**32
+            h ^= h >> 15
+        return (h * 2654435761) % 2**32 >> (32 - op2_language.BITS)
+
+    for text, lang, score in zip(texts, *model.predict(texts)):
+        marked = f" {text.lower()}\n"
+        windows = [marked[i : i + k] for k in op2_language.SIZES for i in range(len(marked) - k + 1)]
+        inner = [w for w in windows if all(c.isalpha() for c in w[1:-1]) and (len(w) > 2 or w[0].isalpha() or w[-1].isalpha())]
+        if not inner:
+            assert (lang, score) == ("und", 0)
+            continue
+        z = (np.mean([model.rows[bucket(w)].astype(float) for w in inner], axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best = int(p[:-1].argmax())
+        assert lang == model.languages[best] and abs(score - p[best]) < 1e-4
+
+
 def test_quality_held_out(spark, mid):
     labels = spark.read.parquet(f"{mid}/labels.parquet")
     got = op4_quality.op4_quality(spark, mid).join(labels, "doc_id").filter("held_out").collect()
