@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -94,13 +95,58 @@ def test_edits_are_near_and_others_are_not(spark, small):
     assert np.median([r.near_edited for r in long]) > 0.55 and np.median([r.near_next for r in long]) < 0.2
 
 
-def test_within_radius_equals_brute_force(spark):
+@pytest.mark.parametrize("front", [1, 2])
+def test_within_radius_equals_brute_force(spark, front):
     rng = random.Random(5)
-    base = [rng.getrandbits(128) for _ in range(12)]
+    base = [rng.getrandbits(128) for _ in range(12)] + [2**128 - 1, 0, 1 << 127]
     prints = [b ^ sum(1 << x for x in rng.sample(range(128), rng.randint(0, 6))) for b in base for _ in range(8)] + base[:3]
     df = spark.createDataFrame([(k, f"{p:032x}") for k, p in enumerate(prints)], "doc_id long, fingerprint string")
     queries = df.filter("doc_id % 5 = 0")
     for radius in (0, 1, 3):
-        got = sorted(map(tuple, m.within_radius(queries, df, radius).collect()))
-        want = sorted((q, d, (prints[q] ^ prints[d]).bit_count()) for q in range(0, len(prints), 5) for d in range(len(prints)) if (prints[q] ^ prints[d]).bit_count() <= radius)
-        assert got == want
+        got = sorted(map(tuple, m.within_radius(queries, df, radius, front=front).collect()))
+        want = {(f"{q:032x}", f"{d:032x}", (q ^ d).bit_count()) for q in prints[::5] for d in prints if (q ^ d).bit_count() <= radius}
+        assert got == sorted(want)
+
+
+def test_copies_give_no_pairs(spark):
+    df = spark.createDataFrame([("0" * 32,)] * 3_000 + [("0" * 31 + "1",)] * 3_000, "fingerprint string")
+    assert m.within_radius(df, df, 3).count() == 4
+
+
+def test_table_masks_cover_the_bits():
+    for radius in range(6):
+        for front in (1, 2):
+            heads = [sum((w % 2**64) << (64 * (1 - k)) for k, w in enumerate(mask)) for mask in m.table_masks(radius, 128, front)]
+            union = 0
+            for head in heads:
+                union |= head
+            assert union == 2**128 - 1 and len(set(heads)) == len(heads)
+
+
+def test_search_columns_equal_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(m, "QUERY_EVERY", 3)
+    rows = m.op1_fingerprints(spark, small).collect()
+    by = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+    for r in rows:
+        assert r.class_id == min(d for d, p in by.items() if p == by[r.doc_id])
+        assert r.n_within == (None if r.doc_id % 3 else sum((p ^ by[r.doc_id]).bit_count() <= 3 for p in by.values()) - 1)
+    assert sum(r.n_within or 0 for r in rows) > 0 and len({r.class_id for r in rows}) < len(rows)
+
+
+@pytest.mark.parametrize("range_bytes", [400, 1 << 20])
+def test_rows_of_one_id_are_split(spark, range_bytes):
+    """A third of the rows under a null id, a third under one id: each row is followed by the next of the whole order."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 7, k]), f"text {rng.randint(0, 500)} " + "w " * rng.randint(0, 30)) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = m.with_next(df, range_bytes)
+    parts = dealt.selectExpr("*", "spark_partition_id() AS p", "monotonically_increasing_id() AS at").collect()
+    h = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, -(r[0] or 0), h[r[1]]))
+    seen, follows = sorted(parts, key=lambda r: r.at), []
+    for a, b in zip(seen, seen[1:]):
+        if not a.copy:
+            assert a.p == b.p
+            follows.append(((a.doc_id, a.text), b.text))
+    assert sorted(follows, key=str) == sorted(((a, b[1]) for a, b in zip(order, order[1:] + order[:1])), key=str)
+    assert max(Counter(r.p for r in parts).values()) < 120
