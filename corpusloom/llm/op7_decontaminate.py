@@ -7,8 +7,9 @@ items stay searchable however often they were copied. Where a document has a see
 locally (+1 for equal words, -1 for others and gaps). A document holds an item if the alignment reaches SHARE of the item's words but
 LEAST at least (the whole item if it is shorter), or LONG at all. Items of fewer than SEED words have no seeds; their exact runs of words are looked up.
 
-Documents are never joined with items by a shuffle: items are taken in blocks of BLOCK_WORDS words, whose seeds are broadcast, and every block is one pass over all whole
-texts. The words' counts over all documents are one more.
+Documents are never joined with items by a shuffle: items are taken in blocks of BLOCK_WORDS words, one after the other. A block is broadcast for two passes over all whole
+texts, one that counts its words and one that finds its items; what it finds is written to the shared folder and its broadcast destroyed before the next block
+comes. So the driver and the executors hold one block, however large the benchmark is. An item is held whole.
 
 Cases: null texts count as empty and hold nothing. Items that are null or without words match nothing. Repeated rows each give their rows; an
 item that is listed twice is found twice. Empty tables give no rows. Extra columns are ignored in the query; ``keep_clean`` keeps all columns.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.llm.common import map_texts, private_name, table
+from corpusloom.llm.common import map_texts, private_name, remove, shared_folder, table, through_parquet
 
 SEED, WINDOW, RARE = 3, 2, 1e-9
 SHARE, LEAST, LONG = 0.35, 6, 50
@@ -178,11 +179,10 @@ def _block(rows: list[tuple]) -> Block:
     return Block([i for i, _ in rows], [np.array([numbers[w] for w in words]) for _, words in rows], numbers)
 
 
-def planted(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
-    """All blocks with their seeds, chosen by the counts of their words over all documents."""
-    context, out = docs.sparkSession.sparkContext, []
+def planted(docs: DataFrame, benchmark: DataFrame) -> Iterator[Block]:
+    """The blocks with their seeds, chosen by the counts of their words over all documents; each is made when the one before is done with."""
     for block in blocks(benchmark):
-        shared = context.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             block = shared.value
@@ -197,21 +197,20 @@ def planted(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
 
         counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         n = {r.word: r.n for r in counted.collect()}  # a row for each word of the block
-        chance = (np.array([n.get(k, 0) for k in range(len(block.numbers))]) + 0.5) / (n.get(-1, 0) + 1)
-        block.plant(chance)
-        out.append(block)
-        shared.unpersist()
-    return out
+        shared.destroy()
+        block.plant((np.array([n.get(k, 0) for k in range(len(block.numbers))]) + 0.5) / (n.get(-1, 0) + 1))
+        yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) for each item that a document holds."""
+    spark = docs.sparkSession
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, score double, first_word long, end_word long"
-    found = docs.sparkSession.createDataFrame([], schema)
+    found, folder = spark.createDataFrame([], schema), None
     arrow, names = to_arrow_schema(found.schema), found.columns
     for block in planted(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, folder = spark.sparkContext.broadcast(block), folder or shared_folder(spark)
 
         def run(batches, shared=shared):
             block = shared.value
@@ -221,14 +220,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 made = pa.table({n: [r[j] for r in rows] for j, n in enumerate(names)}, schema=arrow)
                 yield from made.to_batches()
 
-        found = found.union(docs.select("doc_id", "text").mapInArrow(run, found.schema))
-    return found
+        docs.select("doc_id", "text").mapInArrow(run, found.schema).write.mode("append").parquet(folder)
+        shared.destroy()
+    return spark.read.schema(found.schema).parquet(folder) if folder else found
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item; nothing is shuffled."""
-    out = docs
+    """The rows of ``docs`` that hold no item; nothing is shuffled. With several blocks, what is left after each but the last is written and read again."""
+    out, shared, path = docs, None, None
     for block in planted(docs, benchmark):
+        if shared is not None:
+            before, path = path, shared_folder(docs.sparkSession)
+            out = through_parquet(out, path)
+            shared.destroy()
+            if before:
+                remove(docs.sparkSession, before)
         shared, name = docs.sparkSession.sparkContext.broadcast(block), private_name(out, "held_items")
         make = lambda shared=shared: lambda texts: [[len(shared.value.matches(t)) for t in texts]]
         out = map_texts(out, "text", [pa.field(name, pa.int64())], make).filter(F.col(name) == 0).drop(name)

@@ -358,6 +358,47 @@ def test_planted_passages(spark, folder):
     assert len(held - got) <= 1 and not got - held
 
 
+def test_recall_with_a_fifth_of_the_words_edited(spark):
+    """Each word of a copy is replaced, dropped or doubled by another with a chance of a fifth."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 9))) for _ in range(5_000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(k, text(rng.randint(15, 60))) for k in range(100)]
+
+    def copy(item):
+        out = []
+        for w in item.split():
+            kind = rng.choice("rdi") if rng.random() < 0.2 else ""
+            out += {"": [w], "r": [rng.choice(words)], "d": [], "i": [w, rng.choice(words)]}[kind]
+        return " ".join(out)
+
+    docs = [(d, f"{text(100)} {copy(items[d % 100][1])} {text(100)}" if d < 400 else text(250)) for d in range(800)]
+    got = {(r.doc_id, r.item_id) for r in op7_decontaminate.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()}
+    held = {(d, d % 100) for d in range(400)}
+    assert len(got & held) >= 0.97 * len(held) and not got - held
+
+
+def test_one_block_is_held_at_a_time(spark, small, monkeypatch):
+    """The driver is asked for the next block only when the matches of the one before are written."""
+    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    monkeypatch.setattr(op7_decontaminate, "BLOCK_WORDS", 300)
+    live, most, made = set(), [0], type(spark.sparkContext).broadcast
+
+    def broadcast(context, value):
+        b = made(context, value)
+        if isinstance(value, op7_decontaminate.Block):
+            live.add(id(b))
+            most[0] = max(most[0], len(live))
+            gone = b.destroy
+            b.destroy = lambda: (live.discard(id(b)), gone())
+        return b
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert op7_decontaminate.contaminated(docs, bench).count() and most[0] == 1 and not live
+
+
 def test_blocks_give_the_same(spark, small, monkeypatch):
     docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     whole = sorted((r.doc_id, r.item_id) for r in op7_decontaminate.contaminated(docs, bench).collect())
