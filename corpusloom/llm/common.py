@@ -46,14 +46,18 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 #: A key with more of ``total`` rows than one in so many, and more than HOT_ROWS, is hot: there are fewer hot keys than that.
-HOT_SHARE, HOT_ROWS = 10_000, 1_000
+HOT_SHARE, HOT_ROWS = 10_000, 100_000
 
 
 def join_skewed(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """``rows`` with the row of ``lookup`` for their key; the column ``weight`` of ``lookup`` has how many of the ``total`` rows have the key, and is dropped.
 
-    Rows of hot keys stay where they are: their lookups, HOT_SHARE at most whatever the input, are broadcast. The rest is shuffled by key.
+    Rows of hot keys stay where they are: their lookups, HOT_SHARE at most whatever the input, are broadcast. The rest is shuffled by key, as are all
+    rows where there are too few for a hot key.
     """
+    if total <= HOT_ROWS:
+        return rows.join(lookup.drop(weight), key)
+    lookup = materialize(lookup)
     hot = F.col(weight) > max(HOT_ROWS, total // HOT_SHARE)
     few, rest = F.broadcast(lookup.filter(hot).drop(weight)), lookup.filter(~hot).drop(weight)
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from corpusloom.llm.bits import bit_sums, packed
-from corpusloom.llm.common import map_texts, materialize, private_name, table
+from corpusloom.llm.common import join_skewed, map_texts, materialize, private_name, shared_folder, table, through_parquet
 from corpusloom.llm.components import components, forest
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -188,39 +188,48 @@ def _tile_links(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def _roots(prints: DataFrame, least: Column, radius: int) -> DataFrame:
-    """(fp, root, least): the component of each distinct fingerprint, and the least of its rows."""
-    nodes = prints.groupBy("fp").agg(F.min(least).alias("least"))
+    """(fp, n, root, least): how many rows each distinct fingerprint has, its component, and the least of its rows."""
+    nodes = prints.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp"), radius))
     return nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def _with_least(prints: DataFrame, least: Column, name: str, radius: int) -> DataFrame:
+    """``prints`` and the least row of the component, as ``name``; rows of a fingerprint that very many have are not shuffled."""
+    labelled = _roots(prints, least, radius)
+    named = labelled.groupBy("root").agg(F.min("least").alias(name))
+    by_fp = labelled.select("fp", "root", "n").join(named, "root").select("fp", name, "n")
+    return join_skewed(prints, by_fp, "fp", "n", prints.count())
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
-    prints = materialize(fingerprints(docs))
-    labelled = _roots(prints, F.col("doc_id"), radius)
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    found = _with_least(materialize(fingerprints(docs)), F.col("doc_id"), "component_id", radius)
+    return found.select("doc_id", "fp", "component_id")
 
 
 def drop_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, null last; of more texts with that id the one of the least hash.
 
-    Equal texts are in one component, so that (id, hashes of the text) tell which rows are kept; a row that repeats both stays once.
+    Equal texts are in one component, so that (id, hashes of the text) tell which rows go; a row that repeats both stays once. What goes is written as a table
+    of these keys, which the planner knows the size of: a small one is broadcast, so that whole texts are shuffled only where very many rows go.
     """
     hashes = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
-    names = [private_name(docs, f"_kept_{c}") for c in ("id", "a", "b")]
+    names = [private_name(docs, f"_gone_{c}") for c in ("id", "a", "b")]
+    key = ["doc_id", *names[1:]]
     keyed = docs.select("doc_id", "text", *[h.alias(n) for h, n in zip(hashes, names[1:], strict=True)])
-    prints = materialize(fingerprints(keyed, ["doc_id", *names[1:]]))
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *names[1:])
-    least = _roots(prints, row, radius).groupBy("root").agg(F.min("least").alias("least"))
-    kept = least.select(*[F.col(f"least.{c}").alias(n) for c, n in zip(("doc_id", *names[1:]), names, strict=True)])
+    prints = materialize(fingerprints(keyed, key))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), *key)
+    folder = shared_folder(docs.sparkSession)
+    gone = _with_least(prints, row, "least", radius).filter(row != F.col("least")).select(*key).distinct()
+    gone = through_parquet(gone.toDF(*names), f"{folder}/gone")
     same = F.col("doc_id").eqNullSafe(F.col(names[0])) & (hashes[0] == F.col(names[1])) & (hashes[1] == F.col(names[2]))
-    out = docs.join(kept, same, "left_semi")
-    repeated = prints.groupBy("doc_id", *names[1:]).count().filter("count > 1").limit(1).count()
-    if not repeated:
+    out = docs.join(gone, same, "left_anti")
+    repeated = through_parquet(prints.groupBy(*key).count().filter("count > 1").select(*key).toDF(*names), f"{folder}/repeated")
+    if repeated.isEmpty():
         return out
-    return out.withColumns(dict(zip(names[1:], hashes, strict=True))).dropDuplicates(["doc_id", *names[1:]]).drop(*names[1:])
+    again = docs.join(repeated, same, "left_semi").join(gone, same, "left_anti").withColumns(dict(zip(names[1:], hashes, strict=True)))
+    return out.join(repeated, same, "left_anti").unionByName(again.dropDuplicates(key).drop(*names[1:]))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from corpusloom.llm import common
 from corpusloom.llm import op8_simhash_dedup as m
 from corpusloom.llm.components import components, forest
 
@@ -116,6 +118,29 @@ def test_odd_documents(spark, odd, folder):
     assert m.drop_copies(odd.limit(0)).count() == 0
 
 
+def test_joins_of_hot_keys_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    test_components_of_paths_stars_and_loops(spark)
+    test_drop_copies_goes_by_component_not_by_id(spark)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 7, k) for k in range(90)], "key int, v int")
+    lookup = rows.groupBy("key").count().selectExpr("key", "key * 10 AS w", "count AS n")
+    got = common.join_skewed(rows, lookup, "key", "n", 90)
+    assert got.columns == ["key", "v", "w"] and sorted(map(tuple, got.collect())) == sorted((r.key, r.v, 10 * r.key) for r in rows.collect())
+
+
+def test_drop_copies_keeps_different_texts_of_null_and_repeated_ids(spark):
+    texts = ["".join(f"{w}{k} " for k in range(60)) for w in "abcd"]
+    docs = spark.createDataFrame(list(zip((None, None, 5, 5), texts, "wxyz")), "doc_id long, text string, _kept_id string").withColumn("_gone_id", F.lit(1))
+    kept = m.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == texts
+
+
+def test_drop_copies_does_not_shuffle_texts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plan = m.drop_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_drop_copies_keeps_one_of_each(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = {r.doc_id: r.component_id for r in m.near_duplicates(docs).collect()}
