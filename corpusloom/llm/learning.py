@@ -44,7 +44,7 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> Sam
             own.append((r.doc_id, r.label))
     ids = spark.createDataFrame([x for own in by_class.values() for x in own], f"doc_id long, label {kind}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "label"])
+    rows = rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "label"]).repartition(spark.sparkContext.defaultParallelism)  # long work on few rows
     return Sample(rows, {c: n / min(n, per_class) for c, n in sizes.items()})
 
 
@@ -86,6 +86,13 @@ class Binned:
                 mids = np.unique(mids[np.clip(np.searchsorted(mids, at), 0, len(mids) - 1)])
             self.cuts.append(mids)
             self.bin[:, f] = np.searchsorted(mids, x[:, f], "left")
+        self.width = 1 + max(map(len, self.cuts), default=0)
+        self.real = np.arange(self.width) < np.array([[len(c)] for c in self.cuts]).reshape(-1, 1)  # (features, bins): is there a cut after the bin
+
+    def sums(self, rows: np.ndarray, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """(features, bins): the weights of the rows up to each bin."""
+        at = self.bin[np.ix_(rows, features)] + np.arange(len(features)) * self.width
+        return np.bincount(at.ravel(), np.repeat(weights, len(features)), len(features) * self.width).reshape(len(features), -1).cumsum(axis=1)
 
 
 def grow(data: Binned, rows: np.ndarray, g: np.ndarray, h: np.ndarray, features: np.ndarray, depth: int, least: float = 4.0, ridge: float = 1.0, leaf_rows: int = 5) -> Tree:
@@ -97,21 +104,13 @@ def grow(data: Binned, rows: np.ndarray, g: np.ndarray, h: np.ndarray, features:
         me = tree.leaf(-gs / (hs + ridge))
         if depth == 0 or len(rows) < 2 * leaf_rows:
             return me
-        best = (1e-6, None)
-        for f in features:
-            n = len(data.cuts[f])
-            if not n:
-                continue
-            b = data.bin[rows, f]
-            gl, hl, nl = (np.cumsum(np.bincount(b, w, n + 1))[:-1] for w in (g[rows], h[rows], np.ones(len(rows))))
-            gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
-            gain[(nl < leaf_rows) | (len(rows) - nl < leaf_rows)] = -1
-            k = int(np.argmax(gain))
-            if gain[k] > best[0]:
-                best = (gain[k], (f, k))
-        if best[1] is None:
+        gl, hl, nl = (data.sums(rows, features, w) for w in (g[rows], h[rows], np.ones(len(rows))))
+        gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
+        gain[(nl < leaf_rows) | (len(rows) - nl < leaf_rows) | ~data.real[features]] = -1
+        at = int(np.argmax(gain)) if gain.size else 0
+        if not gain.size or gain.flat[at] <= 1e-6:
             return me
-        f, k = best[1]
+        f, k = int(features[at // data.width]), at % data.width
         tree.feature[me], tree.threshold[me] = int(f), float(data.cuts[f][k])
         low = data.bin[rows, f] <= k
         tree.left[me] = build(rows[low], depth - 1)

@@ -6,7 +6,8 @@ how near such hits are to second-person words, capitals, punctuation, and obfusc
 
 Learned from SAMPLE_PER_LABEL texts of each label at most (see ``labelled_sample``), weighted to stand for all labelled texts. The
 lexicon is crossed: each half of the sample gets its features from the lexicon of the other half, so that the trees do not see words that only their own texts hold;
-scoring takes the lexicon of both halves. The calibration is fitted to margins of trees that were grown without the text, over FOLDS folds.
+scoring takes the lexicon of both halves. What a word must reach to be an entry is chosen among CHOICES by the loss of margins of trees that were grown without the
+text, over FOLDS folds of the sample; rows that no label may be learned from decide nothing. The calibration is fitted to the same margins.
 
 Cases: null texts count as empty; empty texts are scored by their features, which are zero. Repeated rows each give a row. With labels of one kind only,
 or none, the score is a constant. An empty table gives no rows. Extra columns are ignored.
@@ -28,9 +29,9 @@ from corpusloom.llm.statistics import class_counts
 
 SAMPLE_PER_LABEL = 3_000
 STEMS = (4, 5, 6)
-#: A lexicon entry is so much more likely in toxic texts (log odds), and its split between toxic and other texts has so little chance
-#: (log likelihood ratio against the split of all texts: one in about 3,000 by chance).
-LEAST_ODDS, LEAST_RATIO = 2.5, 8.0
+#: What a lexicon entry must reach: how much more likely it is in toxic texts (log odds), and how little chance its split between toxic and other texts has
+#: (log likelihood ratio against the split of all texts; 8 comes up by chance once in about 3,000). The pair with the least out-of-fold loss is taken.
+CHOICES = ((1.5, 8.0), (2.5, 8.0), (3.5, 8.0), (2.5, 4.0))
 #: Entries of a lexicon, the likeliest first.
 LEXICON = 20_000
 NEAR = 6
@@ -137,6 +138,8 @@ class ToxicityModel:
     trees: list[Tree]
     at: np.ndarray
     value: np.ndarray
+    choice: tuple[float, float] | None = None
+    loss: float | None = None  # out of fold, before calibration
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return self.start + sum((t.predict(x) for t in self.trees), np.zeros(len(x)))
@@ -145,58 +148,72 @@ class ToxicityModel:
         return np.interp(sigmoid(self.margins(x)), self.at, self.value)
 
 
-def _lexicons(rows: DataFrame) -> tuple[dict, dict, dict]:
-    """The lexicons of both halves of the sample, and of all of it: log odds by entry."""
+Lexicon = dict[str, float]
+
+
+def _lexicons(rows: DataFrame) -> list[tuple[Lexicon, Lexicon, Lexicon]]:
+    """For each of CHOICES the lexicons of both halves of the sample, and of all of it: log odds by entry."""
     field = pa.field("terms", pa.list_(pa.string()))
     listed = map_texts(rows.select("text", "label", "h"), "text", [field], lambda: lambda texts: [[sorted(terms(t)) for t in texts]], ["label", "h"])
     half = F.pmod("h", F.lit(2))
     kinds = {f"{name}{k}": (half == k) & (F.col("label") == y) for k in (0, 1) for name, y in (("pos", 1), ("neg", 0))}
-    totals = listed.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in kinds.items()]).first()
-    counted = listed.select("label", "h", F.explode("terms").alias("term")).groupBy("term").agg(
+    totals = rows.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in kinds.items()]).first()
+    counted = materialize(listed.select("label", "h", F.explode("terms").alias("term")).groupBy("term").agg(
         *[F.count(F.when(c, 1)).alias(n) for n, c in kinds.items()]
-    )
-    made = []
+    ))
+    found = []
     for parts in (("0",), ("1",), ("0", "1")):
         pos, neg = (sum((F.col(f"{n}{k}") for k in parts), F.lit(0)) for n in ("pos", "neg"))
         n_pos, n_neg = (sum(totals[f"{n}{k}"] for k in parts) for n in ("pos", "neg"))
         odds = F.log((pos + 0.5) / (n_pos + 1)) - F.log((neg + 0.5) / (n_neg + 1))
         share = (n_pos + 0.5) / (n_pos + n_neg + 1)
         part = lambda n, expected: F.when(n > 0, n * F.log(n / ((pos + neg) * expected))).otherwise(0.0)
-        ratio = part(pos, share) + part(neg, 1 - share)
-        likely = counted.select("term", odds.alias("odds")).filter((ratio >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "term")
-        made.append({r.term: r.odds for r in likely.limit(LEXICON).collect()})
-    return tuple(made)
+        judged = counted.select("term", odds.alias("odds"), (part(pos, share) + part(neg, 1 - share)).alias("ratio"))
+        likely = lambda o, r: judged.filter((F.col("odds") >= o) & (F.col("ratio") >= r)).orderBy(F.desc("odds"), "term").limit(LEXICON)
+        found.append([{r.term: r.odds for r in likely(*choice).collect()} for choice in CHOICES])
+    return list(zip(*found, strict=True))
+
+
+def log_loss(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return float(-np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=w))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
     """``labels`` has (doc_id, label), the label 0 or 1."""
     sample = labelled_sample(docs, docs.select("doc_id").join(labels, "doc_id"), per_label)
     rows = materialize(sample.rows)  # bounded; read three times
-    first, second, both = _lexicons(rows)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((second, first))  # a half takes the other's; LEXICON entries at most
+    lexicons = _lexicons(rows)
+    shared = docs.sparkSession.sparkContext.broadcast([x for first, second, _ in lexicons for x in (second, first)])  # a half takes the other's; LEXICON entries at most
 
     def make():
         return lambda texts: [list(features(texts, lexicon)) for lexicon in shared.value]
 
-    fields = [pa.field(f"x{k}", pa.list_(pa.float64())) for k in (0, 1)]
-    got = map_texts(rows, "text", fields, make, ["label", "h"]).orderBy("h", "label").toArrow()
+    fields = [pa.field(f"x{k}", pa.list_(pa.float64())) for k in range(2 * len(CHOICES))]
+    got = map_texts(rows, "text", fields, make, ["label", "h"]).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     y, half = np.array(got.column("label").to_pylist(), float), np.array(got.column("h").to_pylist(), np.int64) % 2
-    x0, x1 = (np.array(got.column(f"x{k}").to_pylist(), float).reshape(len(y), len(FEATURES)) for k in (0, 1))
-    x, w = np.where(half[:, None] == 0, x0, x1), np.array([sample.shares[int(v)] for v in y])
+    w = np.array([sample.shares[int(v)] for v in y])
     knots = np.array([0.0, 1.0])
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel({}, 0.0, [], knots, np.full(2, float(y[0]) if len(y) else 0.0))
-    margins, fold = np.zeros(len(y)), np.arange(len(y)) % FOLDS
-    grown = lambda rows: boost(x[rows], y[rows], w[rows], TREES, DEPTH, RATE, seed=5)
-    for k in range(FOLDS):
-        rest = fold != k if len(set(y[fold != k])) == 2 else fold >= 0
-        margins[fold == k] = ToxicityModel(both, *grown(rest), knots, knots).margins(x[fold == k])
-    model = ToxicityModel(both, *grown(fold >= 0), knots, knots)
+    fold, tried = np.arange(len(y)) % FOLDS, []
+    for c, (_, _, both) in enumerate(lexicons):
+        x0, x1 = (np.array(got.column(f"x{2 * c + k}").to_pylist(), float).reshape(len(y), len(FEATURES)) for k in (0, 1))
+        x, margins = np.where(half[:, None] == 0, x0, x1), np.zeros(len(y))
+        for k in range(FOLDS):
+            rest = fold != k if len(set(y[fold != k])) == 2 else fold >= 0
+            margins[fold == k] = ToxicityModel(both, *_grown(x, y, w, rest), knots, knots).margins(x[fold == k])
+        tried.append((log_loss(sigmoid(margins), y, w), c, x, margins))
+    loss, c, x, margins = min(tried, key=lambda t: t[:2])
+    model = ToxicityModel(lexicons[c][2], *_grown(x, y, w, fold >= 0), knots, knots, CHOICES[c], loss)
     model.at, model.value = isotonic(sigmoid(margins), y, w)
     return model
 
 
+def _grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, rows: np.ndarray) -> tuple[float, list[Tree]]:
+    return boost(x[rows], y[rows], w[rows], TREES, DEPTH, RATE, seed=5)
+
+
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(fold_of(F.col("doc_id"), 5) != 0)
     return labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))

@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LAN
         return sparse
 
     fields = [pa.field(f"{c}{k}", pa.list_(t)) for k in range(3) for c, t in (("b", pa.int32()), ("c", pa.float32()))]
-    got = map_texts(sample.rows, "text", fields, make, ["label", "h"]).orderBy("h", "label").toArrow()
+    got = map_texts(sample.rows, "text", fields, make, ["label", "h"]).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     names = sorted(set(got.column("label").to_pylist()))
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 1.0)

@@ -2,7 +2,7 @@
 
 Boosted trees of small depth over the statistics of a text propose rules: each path from a root to a node is a conjunction of
 thresholds. A logistic model with an L1 penalty, fitted by accelerated proximal steps, gives most rules no weight; the penalty is the
-largest whose loss on the held-back fifth is near the least. The rules left are compiled into Spark column expressions over the statistics, so the model
+one with the least loss on the fifth of the sample that is held back. The rules left are compiled into Spark column expressions over the statistics, so the model
 can be read, and scoring them needs no Python. Only the statistics are computed in Arrow batches.
 
 Learned from SAMPLE_PER_LABEL texts of each label at most (see ``labelled_sample``), weighted to stand for all labelled texts.
@@ -27,7 +27,6 @@ from corpusloom.llm.statistics import STATISTICS, statistics
 SAMPLE_PER_LABEL = 3_000
 TREES, DEPTH, RATE = 40, 3, 0.3
 PENALTIES = np.geomspace(0.1, 0.0005, 12)
-TOLERANCE = 0.001
 GOOD = 0.7
 
 #: A conjunction: (statistic, is it above, threshold), and so on.
@@ -119,8 +118,7 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> RuleModel:
         beta = lasso_logistic(on[learn], y[learn], w[learn], penalty, beta)
         p = np.clip(sigmoid(beta[0] + on[check] @ beta[1:]), 1e-6, 1 - 1e-6)
         tried.append((-np.average(y[check] * np.log(p) + (1 - y[check]) * np.log(1 - p), weights=w[check]), beta))
-    least = min(t[0] for t in tried)
-    beta = next(b for loss, b in tried if loss <= least + TOLERANCE)
+    beta = min(tried, key=lambda t: t[0])[1]
     return RuleModel(float(beta[0]), [(r, float(b)) for r, b in zip(rules, beta[1:], strict=True) if abs(b) > 1e-6])
 
 
@@ -132,7 +130,7 @@ def _statistics(docs: DataFrame, keep: list[str], name: str = "statistics") -> D
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> RuleModel:
     """``labels`` has (doc_id, label), the label 0 or 1."""
     sample = labelled_sample(docs, docs.select("doc_id").join(labels, "doc_id"), per_label)
-    got = _statistics(sample.rows, ["label", "h"]).orderBy("h", "label").toArrow()
+    got = _statistics(sample.rows, ["label", "h"]).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     y = np.array(got.column("label").to_pylist(), float)
     x = np.array(got.column("statistics").to_pylist(), float).reshape(len(y), len(STATISTICS))
     return fit(x, y, np.array([sample.shares[int(v)] for v in y]))
