@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import clean
-from corpusloom.functions.rules import SPECIAL_TOKENS
-from corpusloom.functions.split import chunks
-from corpusloom.operators import analytics, encode, pack, sample, specials, train
+from corpusloom.functions.rules import SPECIAL_TOKENS, SPLIT_FILES
+from corpusloom.functions.split import chunks, chunks_by
+from corpusloom.operators import analytics, encode, files, pack, sample, specials, train
 from corpusloom.operators.vocabulary import Vocabulary, base_vocabulary, rank_lookup
 from corpusloom.plans import duck
-from corpusloom.session import spread
+from corpusloom.session import spread, work_folder
+from corpusloom.sources import artefacts
 from corpusloom.sources.artefacts import parse_merges
-from corpusloom.sources.lines import explode_lines
-from corpusloom.sources.streams import chunk_listing
+from corpusloom.sources.lines import explode_lines, read_lines, require_lines
+from corpusloom.sources.streams import chunk_listing, read_flat
 from corpusloom.streaming.tokens import stream_totals
 
 CL100K, O200K = "cl100k_base", "o200k_base"
@@ -162,13 +163,13 @@ def merges_3_distributed(spark, sf_dir):
     return train.train_distributed(_words(spark, sf_dir), 256 + 3).merge_table(spark)
 
 
-@query()
+@query(lambda: _unrolled(train.CUT_EVERY + 4))
 def merges_24_distributed(spark, sf_dir):
     """More rounds than CUT_EVERY, so that the lineage is cut between them."""
     return train.train_distributed(_words(spark, sf_dir), 256 + train.CUT_EVERY + 4).merge_table(spark)
 
 
-@query()
+@query(lambda: _unrolled(192))
 def merges_192(spark, sf_dir):
     return train.train_words(_words(spark, sf_dir), 256 + 192).merge_table(spark)
 
@@ -399,6 +400,139 @@ def step_accounting(spark, sf_dir):
     return rows.select(F.col("event_id").alias("step"), F.lit(per_step).alias("tokens"), F.round(sample.teraflops(PARAMETERS, per_step / F.col("value")), 9).alias("tflops"))
 
 
+#: Letters that the larger vocabulary puts after each token.
+LETTERS = " etaoinsrhldcum"
+
+
+@cache
+def merges_2048() -> Vocabulary:
+    """A vocabulary of 2,048 ids: the merges of the queries, then each of them with a letter after it, by rank and letter."""
+    made = Vocabulary(merges().merges)
+    for token in range(256, len(merges())):
+        for letter in LETTERS:
+            if len(made) < 2_048:
+                made.add_merge(token, ord(letter))
+    return made
+
+
+@query(lambda: f"WITH {duck.with_tokens(merges_2048(), CL100K, 'documents', 'doc_id')} SELECT doc_id, length(tok) AS n_tokens, md5({duck.ids_text('tok')}) AS ids_md5 FROM tokens")
+def encode_tokens_2048(spark, sf_dir):
+    coded = pack.pack_lines(table(spark, sf_dir, "documents"), merges_2048(), "text")
+    return coded.select("doc_id", "n_tokens", _ids_md5("tok").alias("ids_md5"))
+
+
+@query(lambda: f"WITH {duck.with_tokens(merges_2048(), CL100K, 'documents', 'doc_id')} SELECT count(*) AS n_lines, sum(length(tok))::BIGINT AS n_tokens FROM tokens")
+def pack_stats_2048(spark, sf_dir):
+    return pack.pack_stats(pack.pack_lines(table(spark, sf_dir, "documents"), merges_2048(), "text"))
+
+
+#: Every id's bytes, from the merges alone: a list that one concatenation lengthens at a time.
+def _bytes_of_all(vocabulary: Vocabulary) -> str:
+    rules = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(vocabulary.merges))
+    return f"""RECURSIVE rules(k, a, b) AS (VALUES {rules}),
+grown(k, hexes) AS (SELECT 0, list_transform(range(256), lambda i: printf('%02X', i)) UNION ALL SELECT grown.k + 1, list_append(hexes, hexes[a + 1] || hexes[b + 1]) FROM grown JOIN rules ON rules.k = grown.k),
+vocabulary AS (SELECT unnest(range(len(hexes)))::INTEGER AS id, unnest(hexes) AS hex FROM grown WHERE k = {len(vocabulary.merges)})"""
+
+
+def _saved(spark) -> str:
+    folder = work_folder(spark)
+    artefacts.save(spark, merges(), folder)
+    return folder
+
+
+def _hexes(spark, found: dict[int, bytes]) -> DataFrame:
+    return spark.createDataFrame([(k, data.hex().upper()) for k, data in found.items()], "id int, hex string")
+
+
+@query(lambda: f"WITH {_bytes_of_all(merges())} SELECT id, hex FROM vocabulary")
+def artefact_vocabulary_json(spark, sf_dir):
+    return _hexes(spark, artefacts.parse_vocabulary_json(artefacts.read_bytes(spark, f"{_saved(spark)}/vocab.json").decode("ascii"), strict=True))
+
+
+@query(lambda: "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {256 + k})" for k, (a, b) in enumerate(merges().merges)) + ") t(a, b, c)")
+def artefact_merges(spark, sf_dir):
+    return parse_merges(artefacts.read_bytes(spark, f"{_saved(spark)}/merges.txt").decode("ascii")).merge_table(spark)
+
+
+@query(lambda: f"WITH {_bytes_of_all(merges())} SELECT id, hex FROM vocabulary")
+def artefact_binary(spark, sf_dir):
+    made = artefacts.parse_vocabulary_binary(artefacts.read_bytes(spark, f"{_saved(spark)}/vocab.bin"))
+    return _hexes(spark, {k: made.bytes_of(k) for k in range(len(made))})
+
+
+@query(lambda: f"""WITH {_bytes_of_all(merges())}
+SELECT id, hex, (min(id) OVER (PARTITION BY hex))::INTEGER AS first_id, coalesce(rules.a, -1) AS a, coalesce(rules.b, -1) AS b, CASE WHEN rules.a IS NULL THEN -1 ELSE id END AS pair_id
+FROM vocabulary LEFT JOIN rules ON rules.k = id - 256""")
+def vocabulary_lookups(spark, sf_dir):
+    """Both files loaded together, and every lookup of every id."""
+    made = artefacts.load(spark, _saved(spark))
+    rows = []
+    for k in range(len(made)):
+        a, b = made.merges[k - 256] if k >= 256 else (-1, -1)
+        assert made.contains(made.bytes_of(k))
+        rows.append((k, made.bytes_of(k).hex().upper(), made.id_of(made.bytes_of(k)), a, b, made.id_of_pair(a, b)))
+    return spark.createDataFrame(rows, "id int, hex string, first_id int, a int, b int, pair_id int")
+
+
+@query(lambda: f"""
+WITH one AS (SELECT unnest({duck.lines("text || chr(10)")}) AS line FROM documents),
+src AS (SELECT line, md5(line) AS key, count(*) AS n_lines FROM one GROUP BY line), {duck.with_tokens(merges(), CL100K, 'src', 'key', 'line').lstrip()}
+SELECT key AS line_md5, n_lines, length(tok) AS n_tokens, md5({duck.ids_text('tok')}) AS ids_md5 FROM tokens JOIN src USING (key)""")
+def file_lines_encoded(spark, sf_dir):
+    """Texts written to the train split's file, read line by line, and encoded."""
+    folder = work_folder(spark)
+    table(spark, sf_dir, "documents").select("text").write.option("lineSep", "\n").text(f"{folder}/{SPLIT_FILES['train']}")
+    lines = require_lines(read_lines(spark, folder, "train"))
+    coded = files.encode_lines(lines.groupBy("line").agg(F.count("*").alias("n_lines")), merges())
+    return coded.select(F.md5("line").alias("line_md5"), "n_lines", F.length("tok").cast("long").alias("n_tokens"), _ids_md5("tok").alias("ids_md5"))
+
+
+@query(lambda: f"""
+WITH line AS (SELECT item_id, unnest(range(len(ls))) AS nth, unnest(ls) AS body FROM (SELECT item_id, regexp_extract_all(text || chr(10), '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+') AS ls FROM benchmark)),
+src AS (SELECT item_id * 100000 + nth AS key, body FROM line), {duck.with_tokens(merges(), CL100K, 'src', 'key', 'body').lstrip()},
+stream AS (SELECT string_agg(tok, '' ORDER BY key) AS tok FROM tokens)
+SELECT i AS block, md5({duck.ids_text('substr(tok, (i * 1000 + 1)::BIGINT, 1000)')}) AS ids_md5, (SELECT count(*) FROM line) AS n_lines, length(tok) AS n_tokens FROM stream, range((length(tok) + 999) // 1000) t(i)""")
+def file_packed(spark, sf_dir):
+    """The benchmark as one text file, packed to a flat stream and read again in blocks of 1,000 ids."""
+    folder = work_folder(spark)
+    texts = [r.text + "\n" for r in table(spark, sf_dir, "benchmark").orderBy("item_id").toLocalIterator()]
+    artefacts.write_bytes(spark, f"{folder}/corpus.txt", "".join(texts).encode())
+    done = files.pack_file(spark, f"{folder}/corpus.txt", f"{folder}/stream.bin", merges())
+    stream = read_flat(spark, f"{folder}/stream.bin")
+    blocks = stream.select("tok", F.explode(F.sequence(F.lit(0), F.floor((F.length("tok") - 1) / 1000))).alias("block"))
+    part = F.substring("tok", (F.col("block") * 1000 + 1).cast("int"), F.lit(1000))
+    return blocks.select("block", F.md5(F.array_join(encode.ids(part), " ")).alias("ids_md5"), F.lit(done.lines).cast("long").alias("n_lines"), F.lit(done.tokens).cast("long").alias("n_tokens"))
+
+
+_FIRST = "least(" + ", ".join(f"coalesce(nullif(strpos(substr(marked, 2), '{t}'), 0), 1000000000)" for t in SPECIAL_TOKENS) + ")"
+
+
+@query(lambda: f"SELECT conv_id, turn, 12 AS match_length, 0 AS match_id, -1 AS no_match, CASE WHEN {_FIRST} < 1000000000 THEN {_FIRST} ELSE -1 END::INTEGER AS second FROM (SELECT conv_id, turn, {_MARKED} AS marked FROM conversations)")
+def special_lookups(spark, sf_dir):
+    text = F.col("text")
+    return _marked(spark, sf_dir).select(
+        "conv_id", "turn", specials.match_at(text, F.lit(0)).alias("match_length"), specials.id_at(text, F.lit(0)).alias("match_id"),
+        specials.match_at(text, F.lit(1)).alias("no_match"), specials.find_first(text, 1).alias("second"),
+    )
+
+
+@query(lambda: f"SELECT conv_id, turn, md5({_MARKED}) AS text_md5 FROM conversations")
+def special_decode(spark, sf_dir):
+    coded = _marked(spark, sf_dir).withColumn("tok", specials.encode_with_specials(F.col("text"), merges(), allow=True))
+    return coded.select("conv_id", "turn", F.md5(encode.decode(encode.ids(F.col("tok")), merges(), specials=True)).alias("text_md5"))
+
+
+@query(lambda: "SELECT item_id, unnest(range(len(cs)))::INTEGER AS pos, unnest(cs) AS chunk FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS cs FROM benchmark)")
+def custom_pattern(spark, sf_dir):
+    """A pattern of the user's own, whose gaps are chunks as well."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(chunks_by(F.col("text"), "[A-Za-z]+")).alias("pos", "chunk"))
+
+
+@query(lambda: "SELECT doc_id, strlen(text[1])::INTEGER AS first_bytes FROM documents WHERE text <> ''")
+def first_char_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", clean.utf8_char_bytes(F.col("text")).alias("first_bytes"))
+
+
 @query(lambda: "SELECT doc_id, md5(nfc_normalize(text)) AS text_md5 FROM documents")
 def normalize_nfc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean.normalize(F.col("text"), "NFC")).alias("text_md5"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +26,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is named (tests) make a temporary one."""
+    """Use the cluster's shared checkpoint folder; a local session (tests) that names none gets a temporary one, a cluster an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-"))
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The name of a new folder that the driver and all executors see, beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpusloom-{uuid4().hex}"
+
+
 #: Inputs up to this size are dealt out anew if they come in fewer pieces than there are cores.
 SMALL_INPUT = 256 << 20
 
