@@ -2,7 +2,7 @@
 
 Rules in rank order, each applied once from left to right, give exactly the encoder that always merges the lowest rank first: a merge
 into id r only makes pairs with r, and those have higher ranks. So ``encode_native`` is one fold over the merge table, in built-in functions. Its work is chunks
-times rules, so ``encode_arrow``, which remembers the ids of the chunks it has seen, is the fast path for many rules. ``encode_dictionary``
+times rules, so ``encode_arrow``, which merges the distinct chunks of a batch all at once in arrays, is the fast path for many rules. ``encode_dictionary``
 encodes each distinct chunk once and joins; it pays off only where chunks repeat much more than the shuffle of all of them costs.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -20,13 +21,6 @@ from corpusloom.functions.rules import DEFAULT_RULESET
 from corpusloom.functions.split import chunks
 from corpusloom.operators.vocabulary import Vocabulary
 
-#: Chunks that a task remembers before it forgets them all.
-CACHED_CHUNKS = 500_000
-#: Up to so many rules, passing all new chunks of a batch once for each rule is faster than merging chunk by chunk.
-FOLDED_RULES = 2_000
-#: A character that is no id: ids of string form are below the surrogates.
-_MARK = "\udfff"
-
 
 def merge_array(vocabulary: Vocabulary) -> Column:
     pairs = [f"struct('{_sql(p)}' AS pair, '{_sql(t)}' AS token)" for p, t in vocabulary.merge_strings()]
@@ -72,54 +66,95 @@ def encode_chunk(data: bytes, ranks: dict[tuple[int, int], int]) -> list[int]:
     return word
 
 
-class ChunkCache(dict):
-    """Chunk to token string."""
+class PairTable:
+    """The id that two neighbouring ids merge into, for arrays of pairs; NONE where there is none."""
+
+    NONE = np.uint16(0xFFFF)
+    #: Up to so many ids the table is a matrix, beyond it sorted keys.
+    SIDE = 4_096
 
     def __init__(self, merges: list[tuple[int, int]]):
-        super().__init__()
-        self.ranks = {pair: 256 + k for k, pair in enumerate(merges)}
-
-    def __missing__(self, chunk: str) -> str:
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
-        made = self[chunk] = "".join(map(chr, encode_chunk(chunk.encode(), self.ranks)))
-        return made
-
-    def encode_all(self, chunks: list[str]) -> list[str]:
-        """The token strings of different chunks. With few rules all new ones are folded together, as one string of chunks with a mark between them
-        that is no token; with many rules each is encoded by itself."""
-        fresh = [c for c in chunks if c not in self]
-        if len(self.ranks) <= FOLDED_RULES and fresh:
-            joined = b"\xff".join(c.encode() for c in fresh).decode("latin-1").replace("\xff", _MARK)
-            for (a, b), new in self.ranks.items():
-                joined = joined.replace(chr(a) + chr(b), chr(new))
-            made = dict(zip(fresh, joined.split(_MARK), strict=True))
-            found = [self[c] if c not in made else made[c] for c in chunks]
-            if len(self) + len(made) > CACHED_CHUNKS:
-                self.clear()
-            self.update(made)
-            return found
-        return [self[c] for c in chunks]
-
-
-def encode_chunk_lists(lists: pa.ListArray, cache: ChunkCache) -> pa.Array:
-    """The token string of each list of chunks. Only the distinct chunks of a batch pass through Python; the rest is done by Arrow."""
+        self.size = 256 + len(merges)
+        pairs = np.array(merges, np.int64).reshape(-1, 2)
+        keys, new = pairs[:, 0] * self.size + pairs[:, 1], np.arange(256, self.size, dtype=np.uint16)
+        if self.size <= self.SIDE:
+            self.matrix = np.full(self.size * self.size, self.NONE)
+            self.matrix[keys] = new
+        else:
+            order = np.argsort(keys)
+            self.keys, self.new = np.append(keys[order], -1), np.append(new[order], self.NONE)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) * self.size + b
+        if self.size <= self.SIDE:
+            return self.matrix[keys]
+        at = np.searchsorted(self.keys[:-1], keys)
+        return np.where(self.keys[at] == keys, self.new[at], self.NONE)
+
+
+def merge_words(ids: np.ndarray, word: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words after their merges, and the word of each; ``word`` says, in order, which word each of ``ids`` is in.
+
+    A step merges in every word its lowest pair, from left to right; words without one are done. So there are as many steps as the word with
+    the most different merges takes, rules at most, each of them array operations over the words that are left.
+    """
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(ids):
+        found = np.append(table.find(ids[:-1], ids[1:]), table.NONE)
+        last = np.append(word[1:] != word[:-1], True)
+        found[last] = table.NONE
+        first = np.flatnonzero(np.append(True, last[:-1]))
+        sizes = np.diff(np.append(first, len(ids)))
+        least = np.repeat(np.minimum.reduceat(found, first), sizes)
+        going = least != table.NONE
+        if not going.all():
+            done.append((ids[~going], word[~going]))
+            ids, word, found, least = ids[going], word[going], found[going], least[going]
+        at = np.flatnonzero(found == least)
+        if not len(at):
+            break
+        begin = np.append(True, at[1:] != at[:-1] + 1)  # of a run of places that overlap every other one counts
+        place = np.arange(len(at))
+        at = at[(place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0]
+        ids[at] = found[at]
+        ids, word = np.delete(ids, at + 1), np.delete(word, at + 1)
+    if not done:
+        return ids, word
+    ids, word = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(word, kind="stable")
+    return ids[order], word[order]
+
+
+def encode_strings(chunks: pa.StringArray, table: PairTable) -> pa.StringArray:
+    """The token string of each chunk, from the buffers of the one array to those of the other."""
+    n = len(chunks)
+    starts = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    ids, word = merge_words(data.astype(np.uint16), np.repeat(np.arange(n, dtype=np.int32), np.diff(starts)), table)
+    width = 1 + (ids >= 0x80).astype(np.int64) + (ids >= 0x800)
+    ends = np.cumsum(np.bincount(word, width, n).astype(np.int64)) if n else np.zeros(0, np.int64)
+    text = ids.astype("<u2").tobytes().decode("utf-16-le").encode()
+    return pa.StringArray.from_buffers(n, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(text))
+
+
+def encode_chunk_lists(lists: pa.ListArray, table: PairTable) -> pa.Array:
+    """The token string of each list of chunks; a batch's distinct chunks are encoded once."""
     coded = lists.values.dictionary_encode()
-    tokens = pa.array(cache.encode_all(coded.dictionary.to_pylist()), pa.string())
+    tokens = encode_strings(coded.dictionary, table)
     back = pa.ListArray.from_arrays(lists.offsets, tokens.take(coded.indices), mask=lists.is_null() if lists.null_count else None)
     return pc.binary_join(back, "")
 
 
 def encode_arrow(text: Column, vocabulary: Vocabulary, ruleset: str = DEFAULT_RULESET) -> Column:
-    """As ``encode_native``: split by the engine, encoded in Arrow batches with a cache per task. No shuffle."""
+    """As ``encode_native``: split by the engine, encoded in Arrow batches. No shuffle."""
     vocabulary.require_native()
     merges = list(vocabulary.merges)
 
     @F.arrow_udf("string")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = ChunkCache(merges)
+        table = PairTable(merges)
         for batch in batches:
-            yield encode_chunk_lists(batch, cache)
+            yield encode_chunk_lists(batch, table)
 
     return apply(chunks(text, ruleset))
 

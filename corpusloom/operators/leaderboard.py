@@ -7,12 +7,14 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.split import chunks
 from corpusloom.operators import analytics
-from corpusloom.operators.encode import ChunkCache, decode, encode_arrow, encode_native, ids
+from corpusloom.operators.encode import PairTable, decode, encode_arrow, encode_native, encode_strings, ids
 from corpusloom.operators.vocabulary import Vocabulary
 from corpusloom.session import ensure_checkpoint_dir
 
@@ -27,12 +29,12 @@ def timed_encode(text: Column, vocabulary: Vocabulary, ruleset: str) -> Column:
 
     @F.pandas_udf("tokens long, us double")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = ChunkCache(merges)
+        table = PairTable(merges)
         for batch in batches:
             rows = []
             for row in batch:
                 began = time.perf_counter()
-                n = sum(len(cache[c]) for c in row)
+                n = pc.sum(pc.utf8_length(encode_strings(pa.array(row, pa.string()), table))).as_py() or 0
                 rows.append((n, 1e6 * (time.perf_counter() - began)))
             yield pd.DataFrame(rows, columns=["tokens", "us"])
 
