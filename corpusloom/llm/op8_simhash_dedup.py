@@ -212,7 +212,7 @@ def drop_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, null last; of more texts with that id the one of the least hash.
 
     Equal texts are in one component, so that (id, hashes of the text) tell which rows go; a row that repeats both stays once. What goes is written as a table
-    of these keys, which the planner knows the size of: a small one is broadcast, so that whole texts are shuffled only where very many rows go.
+    of these keys and anti-joined by one shuffle of the texts, at every size: how many rows go has no bound, so they are not broadcast.
     """
     hashes = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
     names = [private_name(docs, f"_gone_{c}") for c in ("id", "a", "b")]
@@ -222,10 +222,10 @@ def drop_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), *key)
     folder = shared_folder(docs.sparkSession)
     gone = _with_least(prints, row, "least", radius).filter(row != F.col("least")).select(*key).distinct()
-    gone = through_parquet(gone.toDF(*names), f"{folder}/gone")
+    gone = through_parquet(gone.toDF(*names), f"{folder}/gone").hint("merge")
     same = F.col("doc_id").eqNullSafe(F.col(names[0])) & (hashes[0] == F.col(names[1])) & (hashes[1] == F.col(names[2]))
     out = docs.join(gone, same, "left_anti")
-    repeated = through_parquet(prints.groupBy(*key).count().filter("count > 1").select(*key).toDF(*names), f"{folder}/repeated")
+    repeated = through_parquet(prints.groupBy(*key).count().filter("count > 1").select(*key).toDF(*names), f"{folder}/repeated").hint("merge")
     if repeated.isEmpty():
         return out
     again = docs.join(repeated, same, "left_semi").join(gone, same, "left_anti").withColumns(dict(zip(names[1:], hashes, strict=True)))

@@ -135,10 +135,10 @@ def test_drop_copies_keeps_different_texts_of_null_and_repeated_ids(spark):
     assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == texts
 
 
-def test_drop_copies_does_not_shuffle_texts(spark, small):
+def test_drop_copies_broadcasts_nothing_unbounded(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = m.drop_copies(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 def test_drop_copies_keeps_one_of_each(spark, small):
