@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,11 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, per_class: int) -> Sam
     return Sample(rows, {c: n / min(n, per_class) for c, n in sizes.items()})
 
 
+def sample_order(got: pa.Table) -> np.ndarray:
+    """The places of the sample's rows by (h, label), so that what is learned does not depend on the order in which they come."""
+    return np.lexsort((np.array(got.column("label").to_pylist()), np.array(got.column("h").to_pylist(), np.int64)))
+
+
 @dataclass
 class Tree:
     """Nodes as parallel lists; a leaf has feature -1. Rows with x[feature] <= threshold go left."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold_of, map_texts, materialize, table
-from corpusloom.llm.learning import Tree, boost, isotonic, labelled_sample, sigmoid
+from corpusloom.llm.learning import Tree, boost, isotonic, labelled_sample, sample_order, sigmoid
 from corpusloom.llm.statistics import class_counts
 
 SAMPLE_PER_LABEL = 3_000
@@ -190,15 +190,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
         return lambda texts: [list(features(texts, lexicon)) for lexicon in shared.value]
 
     fields = [pa.field(f"x{k}", pa.list_(pa.float64())) for k in range(2 * len(CHOICES))]
-    got = map_texts(rows, "text", fields, make, ["label", "h"]).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
-    y, half = np.array(got.column("label").to_pylist(), float), np.array(got.column("h").to_pylist(), np.int64) % 2
+    got = map_texts(rows, "text", fields, make, ["label", "h"]).toArrow()
+    order = sample_order(got)
+    y, half = np.array(got.column("label").to_pylist(), float)[order], np.array(got.column("h").to_pylist(), np.int64)[order] % 2
     w = np.array([sample.shares[int(v)] for v in y])
     knots = np.array([0.0, 1.0])
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel({}, 0.0, [], knots, np.full(2, float(y[0]) if len(y) else 0.0))
     fold, tried = np.arange(len(y)) % FOLDS, []
     for c, (_, _, both) in enumerate(lexicons):
-        x0, x1 = (np.array(got.column(f"x{2 * c + k}").to_pylist(), float).reshape(len(y), len(FEATURES)) for k in (0, 1))
+        x0, x1 = (np.array(got.column(f"x{2 * c + k}").to_pylist(), float).reshape(len(y), len(FEATURES))[order] for k in (0, 1))
         x, margins = np.where(half[:, None] == 0, x0, x1), np.zeros(len(y))
         for k in range(FOLDS):
             rest = fold != k if len(set(y[fold != k])) == 2 else fold >= 0

@@ -3,8 +3,8 @@
 A subword is a run of SIZES letters of a lower-cased word, its ends marked by what is not a letter; it is hashed to
 one of BUCKETS embeddings. The mean embedding of a text goes through a linear softmax. Embeddings and weights are learned by stochastic
 gradient descent in numpy from SAMPLE_PER_LANGUAGE texts of each language at most (see ``labelled_sample``), each also as a short piece, so that
-short texts are told apart as well. The softmax has one class more than there are languages, for what is none: it learns from the same texts with
-their letters shuffled. It is never predicted, but takes its share of the score.
+short texts are told apart as well. The softmax has one class more than there are languages, for what is none: it learns from pieces of the same texts with
+their letters shuffled (JUNK characters, as shuffled letters fill nearly every bucket and the driver holds them). It is never predicted, but takes its share of the score.
 
 A fifth of the texts is left out to fit the temperature of the softmax and the rejection threshold, the score that all but REJECTED of what must be kept
 reach: left-out texts that are told right, and texts of two languages (halves of two left-out ones joined), which are no junk. So the threshold follows the scores
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import CHUNK, joined, sums_by_text, table_of
 from corpusloom.llm.common import fold_of, map_texts, private_name, table
-from corpusloom.llm.learning import labelled_sample
+from corpusloom.llm.learning import labelled_sample, sample_order
 
 SIZES, BITS, WIDTH = (2, 3, 4), 13, 16
 BUCKETS = 1 << BITS
 SAMPLE_PER_LANGUAGE = 800
-PIECE = 48
+PIECE, JUNK = 48, 150
 EPOCHS, BATCH, RATE = 12, 32, 8.0
 #: Share of the texts to be kept that may lie below the rejection threshold.
 REJECTED = 0.002
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LAN
             out = []
             for text in texts:
                 at = len(text) // 3
-                for t in (text, text[at : at + PIECE], shuffled(text)):
+                for t in (text, text[at : at + PIECE], shuffled(text[at : at + JUNK])):
                     c = bucket_counts(t)
                     b = np.nonzero(c)[0]
                     out.append((b.astype(np.int32), c[b].astype(np.float32)))
@@ -204,14 +204,15 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PER_LAN
         return sparse
 
     fields = [pa.field(f"{c}{k}", pa.list_(t)) for k in range(3) for c, t in (("b", pa.int32()), ("c", pa.float32()))]
-    got = map_texts(sample.rows, "text", fields, make, ["label", "h"]).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
-    names = sorted(set(got.column("label").to_pylist()))
+    got = map_texts(sample.rows, "text", fields, make, ["label", "h"]).toArrow()
+    names, order = sorted(set(got.column("label").to_pylist())), sample_order(got).tolist()
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 1.0)
-    y = np.array([names.index(x) for x in got.column("label").to_pylist()])
-    counts = [
-        [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(got.column(f"b{k}"), got.column(f"c{k}"), strict=True)] for k in range(3)
-    ]
+    y = np.array([names.index(x) for x in got.column("label").to_pylist()])[order]
+    counts = []
+    for k in range(3):
+        given = [(np.asarray(b.values), np.asarray(c.values)) for b, c in zip(got.column(f"b{k}"), got.column(f"c{k}"), strict=True)]
+        counts.append([given[i] for i in order])
     return fit(*counts, y, names, strange)
 
 

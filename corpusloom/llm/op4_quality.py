@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold_of, map_texts, private_name, table
-from corpusloom.llm.learning import Tree, boost, labelled_sample, sigmoid
+from corpusloom.llm.learning import Tree, boost, labelled_sample, sample_order, sigmoid
 from corpusloom.llm.statistics import STATISTICS, statistics
 
 SAMPLE_PER_LABEL = 3_000
@@ -130,9 +130,10 @@ def _statistics(docs: DataFrame, keep: list[str], name: str = "statistics") -> D
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> RuleModel:
     """``labels`` has (doc_id, label), the label 0 or 1."""
     sample = labelled_sample(docs, docs.select("doc_id").join(labels, "doc_id"), per_label)
-    got = _statistics(sample.rows, ["label", "h"]).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
-    y = np.array(got.column("label").to_pylist(), float)
-    x = np.array(got.column("statistics").to_pylist(), float).reshape(len(y), len(STATISTICS))
+    got = _statistics(sample.rows, ["label", "h"]).toArrow()
+    order = sample_order(got)
+    y = np.array(got.column("label").to_pylist(), float)[order]
+    x = np.array(got.column("statistics").to_pylist(), float).reshape(len(y), len(STATISTICS))[order]
     return fit(x, y, np.array([sample.shares[int(v)] for v in y]))
 
 
