@@ -46,6 +46,18 @@ def test_odd_documents_pass(spark, odd, folder):
         assert stage(spark, docs, folder(labels=labels, benchmark=bench)).columns == COLUMNS
 
 
+def test_odd_documents_go_through_all_stages(spark, odd, folder):
+    """Nulls, repeated ids, empty and very long texts from the first stage to the last."""
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    run = " " * 1_000_000
+    docs = docs.unionByName(spark.createDataFrame([(7, f"words before{run}and after a long run of white space", "en", "s", 0)], docs.schema))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "another text with the same id"), (2, None)], "item_id long, text string")
+    rows = corpus_pipeline.run(spark, folder(documents=docs, labels=labels, benchmark=bench)).collect()
+    ids = [r.doc_id for r in rows if r.piece == 0]
+    assert {2, 3, 5}.isdisjoint(ids) and ids.count(1) == 1 and ids.count(6) <= 1 and {1, 4} <= set(ids) and len(ids) == len(set(ids))
+
+
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in catalog.queries()) == list(range(1, 11))
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
