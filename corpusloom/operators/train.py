@@ -1,8 +1,9 @@
 """Byte-pair training: weighted pair counts, the most frequent pair, rewrite, repeat.
 
 Spark does what grows with the corpus: splitting and counting distinct chunks. Their number decides how the merges are found. Up to
-``driver_words`` of them, the driver updates pair counts incrementally; beyond, each round is a distributed aggregation over the words, whose lineage is cut
-every ``CUT_EVERY`` rounds. Both give the same merges: most frequent first, the smallest (a, b) on a tie; pairs that occur once count as well.
+``driver_words`` of them, the driver updates pair counts incrementally; beyond, each round is a distributed aggregation over the words that gives all the merges
+which its counts already settle (see ``settled``); lineage is cut after ``CUT_EVERY`` merges. Both give the same merges: most frequent first, the smallest (a, b) on a
+tie; pairs that occur once count as well.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from corpusloom.operators.vocabulary import MAX_NATIVE, Vocabulary
 from corpusloom.session import ensure_checkpoint_dir
 
 DRIVER_WORDS, CUT_EVERY = 2_000_000, 20
+#: Pairs that a round sends to the driver, and merges that it makes, at most; neither changes the merges, only the number of rounds.
+TOP_PAIRS, ROUND_MERGES = 4_096, 64
 
 
 def word_counts(lines: DataFrame, text: str = "line", ruleset: str = DEFAULT_RULESET) -> DataFrame:
@@ -42,9 +45,30 @@ def pair_counts(words: DataFrame, weight: str | None = "count") -> DataFrame:
     return rows.groupBy("pair").agg(weighted.alias("n"))
 
 
-def best_pair(pairs: DataFrame) -> DataFrame:
-    """The most frequent pair; on a tie the smallest (a, b), which is the order of the strings."""
-    return pairs.orderBy(F.desc("n"), "pair").limit(1)
+def best_pairs(pairs: DataFrame, most: int = 1) -> DataFrame:
+    """The most frequent pairs; on a tie the smallest (a, b) first, which is the order of the strings."""
+    return pairs.orderBy(F.desc("n"), "pair").limit(most)
+
+
+def settled(top: list[tuple[str, int]], whole: bool, most: int = ROUND_MERGES) -> list[str]:
+    """The next merges, in order, that counting again after each could not change.
+
+    ``top`` has the most frequent pairs and their counts, best first; ``whole`` if there are no others. Merging (a, b) touches only places where a pair (x, a) or
+    (b, y) was: what such a pair keeps, and any pair with the new id, counts at most as much as that pair did. So the next pair of the list stays the best one
+    while it counts more than all pairs beside the merged ones, and more than what the list does not show.
+    """
+    ending: dict[str, int] = {}
+    starting: dict[str, int] = {}
+    for pair, n in top:  # best first, so that the first is the greatest
+        starting.setdefault(pair[0], n)
+        ending.setdefault(pair[1], n)
+    found, bound = [], 0 if whole or not top else top[-1][1]
+    for pair, n in top[:most]:
+        if found and n <= bound:
+            break
+        found.append(pair)
+        bound = max(bound, ending.get(pair[0], 0), starting.get(pair[1], 0))
+    return found
 
 
 def rewrite(words: DataFrame, pair: str, token: str) -> DataFrame:
@@ -66,18 +90,19 @@ def train(lines: DataFrame, target: int, text: str = "line", ruleset: str = DEFA
     return train_words(word_counts(lines, text, ruleset), target)
 
 
-def train_distributed(words: DataFrame, target: int) -> Vocabulary:
+def train_distributed(words: DataFrame, target: int, top_pairs: int = TOP_PAIRS) -> Vocabulary:
+    """A round counts all pairs, sends the ``top_pairs`` best to the driver, and makes the merges that these settle, one at least."""
     ensure_checkpoint_dir(words.sparkSession)
-    made, now, rounds = Vocabulary(), words.select("tok", "count").checkpoint(), 0
+    made, now, uncut = Vocabulary(), words.select("tok", "count").checkpoint(), 0
     while len(made) < target:
-        top = best_pair(pair_counts(now)).collect()
+        top = [(r.pair, r.n) for r in best_pairs(pair_counts(now), top_pairs).collect()]
         if not top:
             break
-        pair = top[0].pair
-        new = made.add_merge(ord(pair[0]), ord(pair[1]))
-        now, rounds = rewrite(now, pair, chr(new)).filter(F.length("tok") > 1), rounds + 1
-        if rounds % CUT_EVERY == 0:
-            now = now.checkpoint()
+        for pair in settled(top, len(top) < top_pairs)[: target - len(made)]:
+            now, uncut = rewrite(now, pair, chr(made.add_merge(ord(pair[0]), ord(pair[1])))), uncut + 1
+        now = now.filter(F.length("tok") > 1)
+        if uncut >= CUT_EVERY:
+            now, uncut = now.checkpoint(), 0
     return made
 
 

@@ -136,7 +136,7 @@ def pair_counts_unweighted(spark, sf_dir):
 
 @query(lambda: f"WITH {_PAIRS} SELECT ascii(pair) AS a, ascii(pair[2]) AS b, n FROM pairs ORDER BY n DESC, pair LIMIT 1")
 def first_merge(spark, sf_dir):
-    best = train.best_pair(train.pair_counts(_words(spark, sf_dir)))
+    best = train.best_pairs(train.pair_counts(_words(spark, sf_dir)))
     return best.select(F.ascii("pair").alias("a"), F.ascii(F.substring("pair", 2, 1)).alias("b"), "n")
 
 

@@ -74,10 +74,44 @@ def test_incremental_trainer_equals_recounting():
         assert train.train_locally(list(words.items()), 256 + 14).merges == brute_train(list(words.items()), 256 + 14)
 
 
+@pytest.mark.parametrize("most", [2, 5, 4096])
+def test_settled_merges_equal_recounting(most):
+    """Rounds of settled merges, in plain Python, against one merge a count; a list cut short settles less, not otherwise."""
+    rng, rounds, merges = random.Random(most), 0, 0
+    for _ in range(200):
+        words = {"".join(rng.choices("abcdefgh"[: rng.randint(1, 8)], k=rng.randint(2, 9))): rng.randint(1, 40) for _ in range(rng.randint(1, 12))}
+        made, now = Vocabulary(), dict(words)
+        while len(made) < 256 + 14:
+            counts = {}
+            for w, n in now.items():
+                for p in map("".join, zip(w, w[1:])):
+                    counts[p] = counts.get(p, 0) + n
+            top = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:most]
+            if not top:
+                break
+            rounds += 1
+            for pair in train.settled(top, len(top) < most)[: 256 + 14 - len(made)]:
+                token = chr(made.add_merge(*map(ord, pair)))
+                now = {w.replace(pair, token): n for w, n in now.items()}
+        merges += len(made.merges)
+        assert made.merges == brute_train(list(words.items()), 256 + 14)
+    assert rounds < merges or most == 2  # of two, cut short, only the first is settled
+
+
+def test_settled_stops_at_what_a_merge_touches():
+    assert train.settled([("ab", 9), ("cd", 8), ("xa", 7), ("ef", 7), ("gh", 6)], True) == ["ab", "cd"]
+    assert train.settled([("ab", 9), ("cd", 8), ("ef", 7)], True) == ["ab", "cd", "ef"]
+    assert train.settled([("ab", 9), ("cd", 8), ("ef", 7)], False) == ["ab", "cd"]
+    assert train.settled([("aa", 9), ("cd", 8)], True) == ["aa"]
+    assert train.settled([], True) == []
+
+
 def test_distributed_trainer_equals_local(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(20).select(F.col("text").alias("line"))
     words = train.word_counts(docs)
-    assert train.train_distributed(words, 256 + 6).merges == train.train_words(words, 256 + 6).merges
+    want = train.train_words(words, 256 + 30).merges
+    assert train.train_distributed(words, 256 + 30).merges == want
+    assert train.train_distributed(words, 256 + 6, top_pairs=3).merges == want[:6]
 
 
 def test_distributed_query_goes_beyond_its_cut(spark, small, tmp_path):
